@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: in
     for batch in batches:
         where = batch.schema.get_field_index(text)
         a, size = 0, 0
-        sizes = pa.compute.binary_length(batch.column(where)).to_pylist()
+        sizes = pc.binary_length(batch.column(where)).to_pylist()
         for i, n in enumerate([*sizes, None]):
             if i == batch.num_rows or i > a and size + (n or 0) > limit:
                 if i > a:

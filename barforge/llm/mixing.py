@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -88,3 +88,38 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     joined = docs.join(b, col(docs, source).eqNullSafe(b[name_key]))
     taken = joined.withColumn(name_take, _copies(F.col(name_n), col(docs, doc_id), seed)).where(F.col(name_take) > 0)
     return taken.withColumn(name_take, F.explode(F.sequence(F.lit(1), F.col(name_take)))).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = materialize(sizes(spark.read.parquet(f"{sf_dir}/documents.parquet")), "sizes")
+    drawn = copies(sized, materialize(targets(sized), "targets"))
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, [3, 1, 2][1 + CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS INTEGER)] AS weight FROM s
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY source_size / weight, encode(source) NULLS LAST) AS nth FROM w
+), p AS (  -- the unit if the sources before this one are capped, and whether this one is then not above
+  SELECT o.*, (1.5 * (SELECT sum(source_size) FROM s)
+              - 2 * coalesce(sum(source_size) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(weight) OVER (ORDER BY nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM o
+), u AS (
+  SELECT unit FROM p WHERE weight * unit <= 2 * source_size ORDER BY nth LIMIT 1
+), t AS (
+  SELECT source, source_size, CASE WHEN weight * unit > 2 * source_size THEN CAST(2 * source_size AS DOUBLE) ELSE weight * unit END AS target
+  FROM w, u
+), f AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+         CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS draw
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM f
+"""

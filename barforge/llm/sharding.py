@@ -74,3 +74,25 @@ def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, doc_id: str = "doc_i
 def _bits(*words: str) -> Column:
     """Hash words as one string of their bits."""
     return F.concat(*[F.lpad(F.conv(F.col(w).cast("string"), 10, 2), WORD_BITS, "0") for w in words])
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Ids are taken to be unique here: only the first 60 bits are followed, 30 levels of them.
+ORACLE_SQL = """
+WITH k AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+         lpad(bin(CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT)), 60, '0') AS bits
+  FROM documents
+), p AS (
+  SELECT k.*, CAST(l.depth AS INTEGER) AS depth, substr(k.bits, 1, CAST(l.depth AS INTEGER)) AS shard FROM k, (SELECT unnest(range(0, 31)) AS depth) l
+), b AS (
+  SELECT depth, shard, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs FROM p GROUP BY depth, shard
+), f AS (
+  SELECT p.*, b.shard_bytes, b.shard_docs, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.depth) AS nth
+  FROM p JOIN b USING (depth, shard) WHERE b.shard_bytes <= 1048576 OR b.shard_docs = 1
+)
+SELECT doc_id, n_bytes, depth, shard, shard_bytes, shard_docs, shard_bytes > 1048576 AS oversize FROM f WHERE nth = 1
+"""

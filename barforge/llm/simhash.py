@@ -42,7 +42,7 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
         hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)], np.uint64)
     set_ = np.zeros(64, np.int64)
     for i in range(0, n, 8192):
-        set_ += np.unpackbits(hashes[i : i + 8192].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0)
+        set_ += np.unpackbits(hashes[i : i + 8192].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
     return int(np.packbits(2 * set_ > n, bitorder="little").view(np.uint64)[0])
 
 

@@ -16,26 +16,18 @@ class Forest:
             x = up[x]
         return x
 
-    def join(self, left, right) -> None:
-        for x, y in zip(left, right, strict=True):
-            x, y = self.find(x), self.find(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
+    def join_all(self, node: int, others: np.ndarray) -> None:
+        """Joins a node with each of ``others``. Most of a dense group is joined already; only nodes with another parent are walked."""
+        root = self.find(node)
+        for j in others[self.up[others] != root]:
+            j = self.find(j)
+            if j != root:
+                self.up[max(j, root)] = root = min(j, root)
 
     def join_matrix(self, near: np.ndarray, row: int, column: int) -> None:
         """Joins node row + i with node column + j wherever near[i, j]."""
-        hit = np.flatnonzero(near.any(1))
-        for i in hit:
-            cols = np.flatnonzero(near[i]) + column
-            # Most of a dense group is joined already; only nodes with another parent are walked.
-            root = self.find(row + i)
-            cols = cols[self.up[cols] != root]
-            for j in cols:
-                j = self.find(j)
-                if j != root:
-                    low, root_high = min(j, root), max(j, root)
-                    self.up[root_high] = low
-                    root = low
+        for i in np.flatnonzero(near.any(1)):
+            self.join_all(row + i, np.flatnonzero(near[i]) + column)
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Each node that isn't its set's smallest, with that smallest node."""
