@@ -52,10 +52,10 @@ def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, doc_id: str = "doc_i
         spread = cells.select("cell", F.explode(levels).alias("depth"), "b", "n").withColumn("shard", F.expr("substring(cell, 1, depth)"))
         sums = spread.groupBy("depth", "shard").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
         fits = (F.col("shard_bytes") <= limit_bytes) | (F.col("shard_docs") == 1)
-        good = spread.select("cell", "depth", "shard").join(sums.where(fits), ["depth", "shard"])
+        good = spread.select("cell", "depth", "shard").join(sums.where(fits).hint("merge"), ["depth", "shard"])
         first = F.min(F.struct("depth", "shard", "shard_bytes", "shard_docs")).alias("at")
         directory = materialize(good.groupBy("cell").agg(first).select("cell", "at.*"), "directory")
-        at = rest.withColumn("cell", F.substring("bits", 1, top)).join(directory, "cell", "left")
+        at = rest.withColumn("cell", F.substring("bits", 1, top)).join(directory.hint("merge"), "cell", "left")
         done = at.where("depth is not null").drop("cell", "bits")
         placed = done if placed is None else placed.unionByName(done)
         base = top
