@@ -107,7 +107,7 @@ def vols(where: str = "") -> str:
     return SIG + cut + ew + v
 
 
-def _events(vol: str, days: str, tp: str, sl: str, source: str = "v", more: str = "") -> str:
+def events_sql(vol: str, days: str, tp: str, sl: str, source: str = "v", more: str = "") -> str:
     """``ev``: events with barriers, time-out and first touch, by a join of events with the bars ahead."""
     return f""", e1 AS (
   SELECT x.*, {vol} AS vol, close * (1 + primary_signal * {tp} * {vol}) AS tp, close * (1 - primary_signal * {sl} * {vol}) AS sl FROM {source} x
@@ -120,7 +120,7 @@ def _events(vol: str, days: str, tp: str, sl: str, source: str = "v", more: str
 )"""
 
 
-_TOUCH = """, ev AS (
+TOUCH = """, ev AS (
   SELECT e2.*, coalesce(b.date, timeout_date) AS touch_date, coalesce(b.close, timeout_close) AS touch_price,
          CASE WHEN b.close IS NULL THEN 'timeout' WHEN b.close >= greatest(tp, sl) THEN 'upper' ELSE 'lower' END AS touched_barrier
   FROM e2 LEFT JOIN th USING (instrument, rn{more}) LEFT JOIN b0 b ON b.instrument = e2.instrument AND b.rn = th.hit
@@ -131,7 +131,7 @@ _TOUCH = """, ev AS (
 
 
 def _label_sql(m: str) -> str:
-    cte = vols("WHERE date < DATE '1998-07-01'") + _events(f"vol_{m}", "10", "2.0", "2.0") + _TOUCH.replace("{more}", "")
+    cte = vols("WHERE date < DATE '1998-07-01'") + events_sql(f"vol_{m}", "10", "2.0", "2.0") + TOUCH.replace("{more}", "")
     return f"""WITH RECURSIVE {cte} SELECT instrument, instrument AS signal_column, DATE '1998-07-01' AS training_end, date, round(close, 6) AS close, primary_signal, round(vol, 6) AS vol, round(tp, 6) AS tp, round(sl, 6) AS sl,
   timeout_date, round(timeout_close, 6) AS timeout_close, touch_date, round(touch_price, 6) AS touch_price, touched_barrier, triple_barrier_label, metalabel, '{m}' AS volatility_method, 100 AS ewma_span, 20 AS volatility_window,
   10 AS num_days, 2.0::DOUBLE AS take_profit_mult, 2.0::DOUBLE AS stop_loss_mult, CAST(holding_period_days AS INTEGER) AS holding_period_days, round(raw_touch_return, 6) + 0.0 AS raw_touch_return, round(signed_touch_return, 6) + 0.0 AS signed_touch_return FROM ez"""
@@ -141,8 +141,8 @@ _GRID = ", ".join(f"('{c.config_name}', '{c.volatility_method}', {c.num_days}, {
 SWEEP_CTE = (
     vols()
     + f", cf AS (SELECT * FROM (VALUES {_GRID}) z(config_name, method, days, tpm, slm)), vc AS (SELECT v.*, cf.*, CASE method WHEN 'ewma' THEN vol_ewma WHEN 'rolling' THEN vol_rolling WHEN 'parkinson' THEN vol_parkinson ELSE vol_garman_klass END AS the_vol FROM v, cf)"
-    + _events("the_vol", "e2.days", "tpm", "slm", "vc", ", config_name").replace("e1.rn + e2.days", "e1.rn + e1.days").replace("e2.rn , config_name", "e2.rn, e2.config_name")
-    + _TOUCH.replace("{more}", ", config_name")
+    + events_sql("the_vol", "e2.days", "tpm", "slm", "vc", ", config_name").replace("e1.rn + e2.days", "e1.rn + e1.days").replace("e2.rn , config_name", "e2.rn, e2.config_name")
+    + TOUCH.replace("{more}", ", config_name")
 )
 _SUMMARY = """SELECT instrument, config_name, count(*) AS rows, count(*) FILTER (metalabel = 0) AS metalabel_0_count, count(*) FILTER (metalabel = 1) AS metalabel_1_count, round(avg(metalabel), 6) AS metalabel_1_rate,
   count(*) FILTER (triple_barrier_label = -1) AS tb_label_neg1_count, count(*) FILTER (triple_barrier_label = 0) AS tb_label_0_count, count(*) FILTER (triple_barrier_label = 1) AS tb_label_1_count,

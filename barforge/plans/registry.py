@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import labelling, technical
+from . import evaluation, labelling, technical
 
-_PARTS = (technical, labelling)
+_PARTS = (technical, labelling, evaluation)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in _PARTS for k, v in p.ORACLES.items()}

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-BARS = T.StructType.fromDDL("date DATE, instrument STRING, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, open_interest DOUBLE")
-SIGNALS_LONG = T.StructType.fromDDL("date DATE, instrument STRING, primary_signal INT")
-PREDICTIONS = T.StructType.fromDDL("date DATE, instrument STRING, prediction DOUBLE")
+#: Schemas as DDL, for spark.read.schema().
+BARS = "date DATE, instrument STRING, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, open_interest DOUBLE"
+SIGNALS_LONG = "date DATE, instrument STRING, primary_signal INT"
+PREDICTIONS = "date DATE, instrument STRING, prediction DOUBLE"
 
 
 def bars_from_ticks(lineitem: DataFrame) -> DataFrame:
