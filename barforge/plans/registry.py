@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evaluation, labelling, technical
+from . import evaluation, labelling, modelling, technical
 
-_PARTS = (technical, labelling, evaluation)
+_PARTS = (technical, labelling, evaluation, modelling)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
