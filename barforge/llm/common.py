@@ -88,3 +88,11 @@ def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: in
                     yield part, [t or "" for t in part.column(where).to_pylist()]
                 a, size = i, 0
             size += n or 0
+
+
+def map_rows(df: DataFrame, run, text: str) -> DataFrame:
+    """mapInArrow over all columns of ``df``, whatever their names: ``run`` gets the batches and the name and place of the text."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    at = df.columns.index(text)
+    plain = df.toDF(*names)
+    return plain.mapInArrow(lambda batches: run(batches, names[at], at), plain.schema).toDF(*df.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import col, crc_mod, materialize, text_chunks
+from .common import col, crc_mod, map_rows, materialize, text_chunks
 
 #: Characters of the longest gram.
 ORDER = 4
@@ -268,11 +268,11 @@ def accepted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     model = train(docs, None, text, lang)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for part, texts in text_chunks(batches, text, 1 << 20):
+    def run(batches, name, _):
+        for part, texts in text_chunks(batches, name, 1 << 20):
             yield part.filter(pa.array(~judge(shared.value, texts)[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, text)
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, text_chunks
+from .common import col, map_rows, text_chunks
 
 #: In the order in which results list them. The first four are the base kinds; the others are added by the method.
 BASE = ("email", "ip", "card", "phone")
@@ -170,11 +170,10 @@ def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 def redacted(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """``docs`` with the spans of each text replaced; ``n_chars``, where there is such a column, follows. Null texts stay null."""
-    cols, where = docs.columns, docs.columns.index(text)
-    count = cols.index(n_chars) if n_chars in cols else None
+    count = docs.columns.index(n_chars) if n_chars in docs.columns else None
 
-    def run(batches):
-        for part, texts in text_chunks(batches, text):
+    def run(batches, name, where):
+        for part, texts in text_chunks(batches, name):
             old = part.column(where)
             found = [find(t) for t in texts]
             new = [redact(t, s) if s else t for t, s in zip(texts, found, strict=True)]
@@ -186,7 +185,7 @@ def redacted(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars
                 arrays[count] = pa.array([len(t) if s else n for t, s, n in zip(new, found, before, strict=True)], part.column(count).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, text)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
