@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import col, crc_mod, map_rows, materialize, text_chunks
+from .common import col, crc_mod, map_rows, text_chunks
 
 #: Characters of the longest gram.
 ORDER = 4
@@ -19,6 +19,8 @@ ORDER = 4
 #: This is the documented bound on the sample of labelled rows that the models are fitted on.
 TRAIN_CHARS = 1_500_000
 CALIBRATE = 4
+#: Bins of the hash that orders texts, for each halving of it.
+BINS = 64
 #: A text is rejected where its cross-entropy is more than this many deviations above its language's usual one.
 DEVIATIONS = 8.0
 #: No language takes a smaller deviation than this, in nats: mixed texts and ones with codes or numbers stay.
@@ -200,32 +202,29 @@ def fit(samples: dict[str, list[str]], held: dict[str, list[str]]) -> Model:
 def train(docs: DataFrame, usable: Column | None = None, text: str = "text", lang: str = "lang", chars: int = TRAIN_CHARS) -> Model | None:
     """Fits on a bounded sample: for each non-null language, whole texts in the order of a hash of the text until ``chars`` are reached.
 
-    None if no row has a language and a text. Only ``usable`` rows count. Sizes come first, without the texts: a
-    hash threshold keeps about twice the bound of every language, and the running sum goes over what is left.
+    None if no row has a language and a text. Only ``usable`` rows count. Characters are first summed by language and bin
+    of the hash, bins being BINS to each halving of it: a map-side combine to at most 30 * BINS + 1 rows a language, however
+    many texts there are. The lowest bins that reach the bound, give or take one bin, are the sample.
     """
     rows = docs.where(col(docs, lang).isNotNull() & (F.length(col(docs, text)) > 0))
     if usable is not None:
         rows = rows.where(usable)
-    draw = F.pmod(F.xxhash64(col(docs, text), F.lit("lang")), F.lit(1 << 30)) / float(1 << 30)
-    slim = rows.select(col(docs, lang).alias("lang"), F.length(col(docs, text)).cast("long").alias("n"), draw.alias("draw"))
-    slim = materialize(slim, "lang")
-    share = slim.groupBy("lang").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
-    # One text more than needed, however long: the longest is part of the margin.
-    share = share.select("lang", ((F.lit(2.0 * chars) + 4 * F.col("most")) / F.col("all")).alias("share"))
-    few = slim.join(share, "lang").where("draw < share")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("draw", "n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = few.withColumn("before", before).where(F.col("before") < chars).groupBy("lang").agg(F.max("draw").alias("last"))
+    draw = F.greatest(F.lit(1), F.pmod(F.xxhash64(col(docs, text), F.lit("lang")), F.lit(1 << 30)))
+    depth = F.floor(F.log2(F.lit(float(1 << 30)) / draw) * BINS).cast("int")  # the larger, the lower the hash
+    bins = rows.groupBy(col(docs, lang).alias("lang"), depth.alias("depth")).agg(F.sum(F.length(col(docs, text)).cast("long")).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = bins.withColumn("before", before).where(F.col("before") < chars).groupBy("lang").agg(F.min("depth").alias("last"))
     ends = {r["lang"]: r["last"] for r in last.collect()}  # one row a language
     if not ends:
         return None
     chosen = F.lit(False)
     for k, end in ends.items():
-        chosen = chosen | ((col(docs, lang) == k) & (draw <= end))
+        chosen = chosen | ((col(docs, lang) == k) & (depth >= end))
     sample = rows.where(chosen).select(col(docs, lang).alias("lang"), col(docs, text).alias("text"), draw.alias("draw")).distinct()
     used: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["draw"], r["text"])):
-        (held if int(r["draw"] * (1 << 30)) % CALIBRATE == 0 else used).setdefault(r["lang"], []).append(r["text"])
+        (held if r["draw"] % CALIBRATE == 0 else used).setdefault(r["lang"], []).append(r["text"])
     return fit({k: used.get(k) or held[k] for k in ends}, held)
 
 
