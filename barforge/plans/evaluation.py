@@ -69,6 +69,11 @@ def _p(f):
     return lambda spark, sf_dir: rounded(f(predictions_of(spark, sf_dir)))
 
 
+def _sized(p):
+    """Trades of a twentieth of the capital, so that values of thousands of trades stay near 1."""
+    return p.withColumn("signed_touch_return", 0.05 * F.col("signed_touch_return"))
+
+
 def _fold_metrics(spark, sf_dir):
     return rounded(mt.candidate_summary(mt.binary_metrics(oof_of(spark, sf_dir), ["instrument", "split_id"], p="y_proba"), ["instrument"]))
 
@@ -127,7 +132,7 @@ def _trading(spark, sf_dir):
 QUERIES = {
     "cpcv_blocks": _blocks, "cpcv_splits_a": _splits(cpcv.splits_by_rows), "cpcv_splits_b": _splits(cpcv.splits_by_dates), "cpcv_splits_c": _splits(cpcv.splits_before), "cpcv_train_counts": _counts, "cpcv_paths": _paths, "path_sharpe": _path_sharpe, "label_end": _label_end,
     "clf_metrics": _p(lambda p: mt.with_overall(p, lambda d: mt.binary_metrics(d, ["instrument"]))), "roc_pr_points": _p(lambda p: mt.curve_points(p, ["instrument"])), "calibration": _p(lambda p: mt.calibration(p, ["instrument"])), "ev_threshold": _p(lambda p: mt.ev_threshold(p, ["instrument"])),
-    "bootstrap_threshold": _p(lambda p: mt.bootstrap_threshold(p, ["instrument"])), "threshold_sweep": _p(lambda p: mt.threshold_sweep(p, ["instrument"])), "nav_drawdown": _p(mt.nav_table), "nav_summary": _p(lambda p: mt.nav_summary(mt.nav_table(p))), "return_diagnostics": _p(mt.return_diagnostics),
+    "bootstrap_threshold": _p(lambda p: mt.bootstrap_threshold(p, ["instrument"])), "threshold_sweep": _p(lambda p: mt.threshold_sweep(p, ["instrument"])), "nav_drawdown": _p(lambda p: mt.nav_table(_sized(p))), "nav_summary": _p(lambda p: mt.nav_summary(mt.nav_table(_sized(p)))), "return_diagnostics": _p(mt.return_diagnostics),
     "trading_metrics": _trading, "candidate_summary": _fold_metrics, "top3_then_sharpe": _top3, "comparison_upsert": _upsert, "oof_average": lambda s, d: rounded(mt.oof_average(oof_of(s, d))), "ewma_ann_vol": _ann_vol, "sizing": _sizing,
     "allocation": lambda s, d: rounded(allocation_of(s, d)), "gross_cap": lambda s, d: rounded(allocation_of(s, d, most_gross=0.2).select("date", "instrument", "capped_weight", "weight")), "weights_compare": _aligned(lambda a: a), "strategy_summary": _aligned(al.strategy_summary),
     "strategy_summary_portfolio": _aligned(lambda a: al.strategy_summary(a, "portfolio_sum")), "instrument_summary": _aligned(al.instrument_summary), "daily_panel": _aligned(al.daily_panel),
@@ -223,7 +228,7 @@ def _cand() -> str:
     return f"cd AS (SELECT *, CASE WHEN variant < 2 THEN 'logistic' ELSE 'forest' END AS model_type, {u('a')} AS mean_auc, {u('b')} AS std_auc, {u('c')} AS median_auc, {u('d')} AS median_path_trade_sharpe, {u('e')} AS path_sharpe_iqr FROM (VALUES {rows}) z(ticker, tb_config_name, variant, candidate))"
 
 
-_NAV = PRED + f", nv AS (SELECT instrument, date, signed_touch_return AS primary_return, CASE WHEN prediction >= 0.5 THEN signed_touch_return ELSE 0.0 END AS meta_return FROM pr), nb AS (SELECT *, exp(sum(ln(1 + primary_return)) OVER ({o.W} ROWS UNBOUNDED PRECEDING)) AS primary_nav, exp(sum(ln(1 + meta_return)) OVER ({o.W} ROWS UNBOUNDED PRECEDING)) AS meta_nav FROM nv), nc AS (SELECT *, primary_nav / max(primary_nav) OVER ({o.W} ROWS UNBOUNDED PRECEDING) - 1 AS primary_drawdown, meta_nav / max(meta_nav) OVER ({o.W} ROWS UNBOUNDED PRECEDING) - 1 AS meta_drawdown FROM nb)"
+_NAV = PRED + f", nv AS (SELECT instrument, date, 0.05::DOUBLE * signed_touch_return AS primary_return, CASE WHEN prediction >= 0.5 THEN 0.05::DOUBLE * signed_touch_return ELSE 0.0 END AS meta_return FROM pr), nb AS (SELECT *, exp(sum(ln(1 + primary_return)) OVER ({o.W} ROWS UNBOUNDED PRECEDING)) AS primary_nav, exp(sum(ln(1 + meta_return)) OVER ({o.W} ROWS UNBOUNDED PRECEDING)) AS meta_nav FROM nv), nc AS (SELECT *, primary_nav / max(primary_nav) OVER ({o.W} ROWS UNBOUNDED PRECEDING) - 1 AS primary_drawdown, meta_nav / max(meta_nav) OVER ({o.W} ROWS UNBOUNDED PRECEDING) - 1 AS meta_drawdown FROM nb)"
 _r = lambda *cols: ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in cols)
 _TRADE = PRED + f", tr AS (SELECT instrument, date, CASE WHEN prediction < 0.4 THEN 0 WHEN {_hash(chr(39) + 'd' + chr(39), 'instrument', 'CAST(date AS VARCHAR)')} >= 0.5 THEN 1 ELSE -1 END AS sg, 100 * signed_touch_return / 100 AS rr FROM pr), tq AS (SELECT *, CASE WHEN sg <> 0 THEN rr END AS r FROM tr), tn AS (SELECT *, exp(sum(ln(1 + r)) OVER ({o.W} ROWS UNBOUNDED PRECEDING)) AS nav FROM tq), td AS (SELECT *, CASE WHEN sg <> 0 THEN nav / max(CASE WHEN sg <> 0 THEN nav END) OVER ({o.W} ROWS UNBOUNDED PRECEDING) - 1 END AS dd FROM tn)"
 

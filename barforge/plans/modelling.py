@@ -76,7 +76,7 @@ def _star(spark, sf_dir):
 
 
 def _profile(spark, sf_dir):
-    return rounded(sl.profile(_rounded_features(spark, sf_dir), COLS))
+    return rounded(sl.profile(_rounded_features(spark, sf_dir), COLS), 8)  # quantiles between values of six digits
 
 
 def _families(spark, sf_dir):
@@ -194,7 +194,7 @@ ORACLES = {
     "hmm_filter": f"WITH RECURSIVE {_HMM} SELECT date, instrument, regime AS hmm_predicted_regime, round(conf, 6) AS hmm_regime_confidence, " + ", ".join(f"round(p{k}, 6) + 0.0 AS hmm_regime_prob_{k}" for k in range(4)) + " FROM hr",
     "regime_map": f"WITH RECURSIVE {_MAP} SELECT instrument, hmm_predicted_regime, days, hmm_volatility_regime, hmm_return_regime, hmm_market_state, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("avg_daily_return", "avg_abs_return", "avg_realized_vol_20d", "avg_confidence")) + " FROM rm",
     "category_mass": f"WITH RECURSIVE {_MASS} SELECT date, instrument, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _MASSES) + " FROM cm",
-    "profile_columns": f"WITH {_PREP}{_PROF} SELECT feature, nunique, constant, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("missing_rate", "variance", "q25", "median", "q75")) + " FROM pf",
+    "profile_columns": f"WITH {_PREP}{_PROF} SELECT feature, nunique, constant, " + ", ".join(f"round({c}, 8) + 0.0 AS {c}" for c in ("missing_rate", "variance", "q25", "median", "q75")) + " FROM pf",
     "missing_by_family": f"WITH {_PREP}{_PROF}, fm AS (SELECT *, CASE WHEN regexp_matches(feature, 'vol|atr|range') THEN 'vol' WHEN regexp_matches(feature, '^(ret|roc|mom|log_ret)') THEN 'momentum' WHEN regexp_matches(feature, 'sma|ema|macd') THEN 'trend' WHEN regexp_matches(feature, 'rsi|stoch|williams|cci|mfi|^uo') THEN 'oscillator' WHEN regexp_matches(feature, 'bb_|donchian|zscore') THEN 'band' ELSE 'other' END AS family FROM pf) SELECT family, count(*) AS features, round(avg(missing_rate), 6) AS mean_missing_rate FROM fm GROUP BY family",
     "corr_pairs": f"WITH {_PREP}{_PAIR} SELECT a, b, count(*) AS n, round({_CORR}, 6) + 0.0 AS corr FROM pq GROUP BY a, b",
     "corr_pairs_spearman": f"WITH {_PREP}{_PAIR}, rk AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0::DOUBLE AS y FROM pq) SELECT a, b, count(*) AS n, round({_CORR}, 6) + 0.0 AS corr FROM rk GROUP BY a, b",
