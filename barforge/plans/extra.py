@@ -1,11 +1,17 @@
-"""Queries beyond the bars: windows over events, the batch form of the stream."""
+"""Queries beyond the bars: windows over events, the batch form of the stream, small relational operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import labels as lb
+from ..operators import shape
+from ..sources.bars import signals_from_bars
 from ..streaming.bars import event_bars
-from .technical import rounded
+from . import oracle as o
+from .evaluation import EVENTS, events_of
+from .labelling import SIG
+from .technical import bars_of, rounded
 
 
 def _event_bars(spark, sf_dir):
@@ -13,7 +19,42 @@ def _event_bars(spark, sf_dir):
     return rounded(out.withColumn("start", F.to_date("start")))
 
 
-QUERIES = {"event_bars": _event_bars}
+def _pivot(spark, sf_dir):
+    df = signals_from_bars(bars_of(spark, sf_dir)).where("primary_signal is not null").withColumn("s", F.when(F.col("primary_signal") < 0, "short").when(F.col("primary_signal") > 0, "long").otherwise("flat"))
+    return shape.pivot_counts(df, "instrument", "s", ["short", "flat", "long"])
+
+
+def _mode(spark, sf_dir):
+    return shape.mode_by(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_returnflag", "l_linenumber")
+
+
+def _even(spark, sf_dir):
+    return shape.evenly_spaced(events_of(spark, sf_dir).select("instrument", "date", "metalabel"), 12)
+
+
+def _grid(spark, sf_dir):
+    return shape.grid(spark, horizon=[5, 10, 20], take_profit=[1.0, 1.5, 2.0], stop_loss=[1.0, 1.5, 2.0])
+
+
+def _clip(spark, sf_dir):
+    bars = bars_of(spark, sf_dir).withColumn("r", F.try_divide("close", F.lag("close").over(lb.by_date())) - 1)
+    return rounded(shape.clip_to(bars.select("date", "instrument", "r"), bars.where("date < '1996-01-01'"), ["r"]))
+
+
+def _flags(spark, sf_dir):
+    bars = bars_of(spark, sf_dir)
+    flagged = shape.issue_flags(bars, flat=F.col("high") == F.col("low"), thin=F.col("open_interest") < 2, large=F.col("volume") > 100)
+    return flagged.select("date", "instrument", "issues")
+
+
+QUERIES = {"event_bars": _event_bars, "pivot_counts": _pivot, "mode_by": _mode, "evenly_spaced": _even, "config_grid": _grid, "clip_to_train": _clip, "issue_flags": _flags}
+_R = SIG + f", rr AS (SELECT date, instrument, close / {o.lag('close')} - 1 AS r FROM bars), qq AS (SELECT quantile_cont(r, 0.01) AS lo, quantile_cont(r, 0.99) AS hi FROM rr WHERE date < DATE '1996-01-01')"
 ORACLES = {
     "event_bars": "SELECT CAST(ts AS DATE) AS start, event_type, round(arg_min(value, (ts, event_id)), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low, round(arg_max(value, (ts, event_id)), 6) AS close, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
+    "pivot_counts": f"WITH {SIG} SELECT instrument, count(*) FILTER (primary_signal < 0) AS short, count(*) FILTER (primary_signal = 0) AS flat, count(*) FILTER (primary_signal > 0) AS long FROM sig GROUP BY instrument",
+    "mode_by": "WITH b AS (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_linenumber) AS k FROM b) SELECT l_returnflag, l_linenumber AS mode FROM c WHERE k = 1",
+    "evenly_spaced": f"WITH RECURSIVE {EVENTS}, en AS (SELECT *, row_number() OVER ({o.W}) - 1 AS pos, count(*) OVER (PARTITION BY instrument) AS n FROM evs), wt AS (SELECT DISTINCT instrument, CAST(floor(i * (n - 1) / 11.0::DOUBLE) AS BIGINT) AS pos FROM en, range(12) z(i)) SELECT instrument, date, metalabel FROM en JOIN wt USING (instrument, pos)",
+    "config_grid": "SELECT CAST(h AS BIGINT) AS horizon, t AS take_profit, s AS stop_loss FROM (SELECT unnest([5, 10, 20]) AS h), (SELECT unnest([1.0::DOUBLE, 1.5, 2.0]) AS t), (SELECT unnest([1.0::DOUBLE, 1.5, 2.0]) AS s)",
+    "clip_to_train": f"WITH {_R} SELECT date, instrument, CASE WHEN r IS NOT NULL THEN round(greatest(lo, least(hi, r)), 6) + 0.0 END AS r FROM rr, qq",
+    "issue_flags": f"WITH {o.BARS} SELECT date, instrument, concat_ws(';', CASE WHEN high = low THEN 'flat' END, CASE WHEN open_interest < 2 THEN 'thin' END, CASE WHEN volume > 100 THEN 'large' END) AS issues FROM bars",
 }
