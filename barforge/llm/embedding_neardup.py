@@ -19,6 +19,8 @@ from .vectors import dealt, each, finite, keyed, matrix
 COSINE = 0.9
 #: Distinct vectors in a shard's graph, and distinct queries in a block.
 SHARD, BLOCK = 16384, 16384
+#: Bytes of vectors that a shard or block has at most, whatever its rows; 12 bytes a component.
+SHARD_BYTES = 32 << 20
 #: Shards while there are few vectors, of at least so many each.
 LEAST_SHARDS, LEAST_ROWS = 4, 256
 #: Beam of the first search, and how much wider each next one is.
@@ -107,8 +109,10 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, vec_id: str = "ve
     count, dims = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     if not count:
         return slim.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    most = max(256, SHARD_BYTES // (12 * dims))
+    shard, block = min(shard, most), min(BLOCK, most)
     shards = max(-(-count // shard), min(LEAST_SHARDS, max(1, count // LEAST_ROWS)))
-    blocks = max(-(-count // BLOCK), min(LEAST_SHARDS, max(1, count // (4 * LEAST_ROWS))))
+    blocks = max(-(-count // block), min(LEAST_SHARDS, max(1, count // (4 * LEAST_ROWS))))
 
     def build(table: pa.Table) -> pa.Table:
         x = _unit(matrix(table["v"], dims))

@@ -88,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, doc_
     """Weights, the bias last, from at most ``rows`` labelled documents: the first in the order of a hash of the id.
 
     Rows of ``labels`` without an id, or with a label other than 0 or 1, don't count; repeated labels of an id count
-    once and the larger wins. With no labelled rows all weights are 0. Only ids are joined to choose the sample; executors
+    once and the larger wins. With no labelled rows all weights are 0. Only ids are joined to choose the sample, whose ids and labels alone are broadcast; executors
     hash its texts to buckets, and the driver reads those documents one partition at a time, holding two numbers a bucket.
     """
     good = labels.where(col(labels, label).isin(0, 1) & col(labels, doc_id).isNotNull())
@@ -99,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, doc_
     known = good.join(there, "doc_id", "left_semi").withColumn("draw", F.xxhash64("doc_id", F.lit("quality")))
     chosen = materialize(known.orderBy("draw", "doc_id").limit(rows), "chosen")
     slim = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text"))
-    sample = slim.join(chosen, "doc_id").select("draw", "y", "text")
+    sample = slim.join(F.broadcast(chosen), "doc_id").select("draw", "y", "text")
 
     def run(batches):
         for part, texts in text_chunks(batches, limit=1 << 20):

@@ -13,6 +13,8 @@ from .vectors import dealt, each, finite, keyed, matrix
 
 #: Distinct vectors in a shard, and distinct queries in a block.
 SHARD, BLOCK = 16384, 4096
+#: Bytes of vectors that a shard has at most, whatever its rows.
+SHARD_BYTES = 32 << 20
 #: Shards while there are few vectors, of at least so many each.
 LEAST_SHARDS, LEAST_ROWS = 12, 256
 #: Lists a score is made of: each holds the partial scores over a slice of the components.
@@ -95,8 +97,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     if not nq:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dims = max(1, dims)
-    shards = max(-(-n // SHARD), min(LEAST_SHARDS, max(1, n // LEAST_ROWS)))
-    blocks = -(-nq // BLOCK)
+    shards = max(-(-n // min(SHARD, max(256, SHARD_BYTES // (8 * dims)))), min(LEAST_SHARDS, max(1, n // LEAST_ROWS)))
+    blocks = -(-nq // min(BLOCK, max(256, SHARD_BYTES // (8 * dims))))
     items = classes.select(dealt("k1", shards).alias("s"), each(blocks).alias("b"), "ids", "v")
     some = k + 1
 
