@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import col, text_chunks
+from .common import claim_memo, col, text_chunks
 
 #: Distinct pre-tokens whose ids a worker remembers; beyond that it starts afresh.
 MEMO = 300_000
@@ -173,6 +173,7 @@ def _run_over(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: st
 
     def run(batches):
         bpe = codec.value
+        claim_memo(bpe)
         for part, texts in text_chunks(batches, limit=1 << 20):
             pieces = [bpe.split(t) for t in texts]
             bpe.learn(set(chain.from_iterable(pieces)))

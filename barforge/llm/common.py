@@ -96,3 +96,14 @@ def map_rows(df: DataFrame, run, text: str) -> DataFrame:
     at = df.columns.index(text)
     plain = df.toDF(*names)
     return plain.mapInArrow(lambda batches: run(batches, names[at], at), plain.schema).toDF(*df.columns)
+
+
+_memo_of: list = [None]
+
+
+def claim_memo(owner) -> None:
+    """Lets only one object of a worker keep what it has learned in its ``memo``: workers outlive queries and their broadcasts."""
+    if _memo_of[0] is not owner:
+        if _memo_of[0] is not None:
+            _memo_of[0].memo.clear()
+        _memo_of[0] = owner

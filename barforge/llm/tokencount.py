@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, text_chunks
+from .common import claim_memo, col, text_chunks
 
 #: Distinct pre-tokens whose counts a worker remembers; beyond that it starts afresh.
 MEMO = 400_000
@@ -138,6 +138,7 @@ def token_counts(docs: DataFrame, spec: dict, over: int = OVER, doc_id: str = "d
 
     def run(batches):
         merges = table.value
+        claim_memo(merges)
         for part, texts in text_chunks(batches):
             split = [merges.pieces(t) for t in texts]
             merges.learn(set(chain.from_iterable(p for p, _ in split)))
