@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,15 +46,15 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_ > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of every whole text; null and empty texts have 0."""
-    slim = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text"))
-    schema = T.StructType([slim.schema["doc_id"], T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, more: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id and fp (the fingerprint's 64 bits as a long) of every whole text, and ``more`` columns; null and empty texts have 0."""
+    slim = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text"), *more)
+    schema = T.StructType([slim.schema["doc_id"], T.StructField("fp", T.LongType()), *slim.schema[2:]])
 
     def run(batches):
         for part, texts in text_chunks(batches):
             fps = np.array([fingerprint(t, k) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), *part.columns[2:]], schema.names)
 
     return slim.mapInArrow(run, schema)
 
@@ -121,6 +121,14 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     return both.groupBy("tb", "ta").applyInArrow(compare, "a long, b long")
 
 
+def _groups(fps: DataFrame, first: Column, radius: int = RADIUS) -> DataFrame:
+    """fp, first (an aggregate of its rows) and c (a fingerprint that names its group) of every distinct fingerprint."""
+    classes = materialize(fps.groupBy("fp").agg(first.alias("first")), "classes")
+    found = connected_components(links(classes.select("fp"), radius))
+    named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
+    return materialize(named, "named")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable, itself included): one row for each row of ``docs``.
 
@@ -131,24 +139,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Equal fingerprints are one class from the start, so copies cost one row each and no pairs.
     """
     fps = materialize(fingerprints(docs, doc_id, text, k), "fps")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    found = connected_components(links(classes.select("fp"), radius))
-    named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
-    named = materialize(named, "named")
+    named = _groups(fps, F.min("doc_id"), radius)
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
     by_fp = materialize(named.join(least, "c").select("fp", "component_id"), "by_fp")
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one of the smallest id, once if its row repeats. Rows of a null id stay."""
-    (keep,) = fresh(docs, "keep")
-    near = near_duplicates(docs, doc_id, text)
-    ids = near.where("doc_id = component_id").select(F.col("doc_id").alias(keep)).distinct()
-    there = docs.where(col(docs, doc_id).isNotNull())
-    kept = there.join(ids, col(there, doc_id) == ids[keep], "left_semi")
-    once = kept.dropDuplicates([doc_id])
-    return once.unionByName(docs.where(col(docs, doc_id).isNull()))
+    """``docs`` with one row of each group: the smallest by id (null last), then fingerprint, hashes of the text, hash of the row.
+
+    Null and repeated ids are as any others: rows of one id in several groups may all stay, and a group of null ids keeps one.
+    A row is found again by its id and hashes, so only rows that agree in all of them are interchangeable.
+    """
+    names = fresh(docs, "keep", "text_1", "text_2", "row")
+    whole = [col(docs, c) for c in docs.columns if not re.search("map<|variant", docs.schema[c].dataType.simpleString())]  # these have no hash
+    marks = dict(zip(names[1:], (F.xxhash64(col(docs, text)), F.xxhash64(F.lit("text"), col(docs, text)), F.xxhash64(*whole)), strict=True))
+    marked = docs.withColumns(marks)
+    hashes = ("text_1", "text_2", "row")
+    fps = materialize(fingerprints(marked, doc_id, text, more=tuple(marked[n].alias(h) for n, h in zip(names[1:], hashes, strict=True))), "fps")
+    named = _groups(fps, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", *hashes)))
+    least = materialize(named.groupBy("c").agg(F.min("first").alias("first")).select("first.*"), "least")
+    ids = least.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", *hashes), names, strict=True)])
+    same = col(marked, doc_id).eqNullSafe(ids[names[0]])
+    for n in names[1:]:
+        same = same & (marked[n] == ids[n])
+    return marked.join(ids, same, "left_semi").dropDuplicates([doc_id, *names[1:]]).drop(*names[1:])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,6 +202,18 @@ def test_simhash_on_odd_rows(odd, empty):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 4, 5, 7]
 
 
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    word = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    a, b, c, d, e = map(word, "abcde")
+    rows = [(None, a), (None, a), (1, a), (None, b), (None, b), (7, c), (7, d), (7, c), (3, e), (9, e), (9, word("f")), (None, None), (None, "")]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        kept = [(r["doc_id"], r["text"]) for r in simhash.deduplicated(docs).collect()]
+        blank = [r for r in kept if not r[1]]
+        assert len(blank) == 1 and blank[0][0] is None
+        assert sorted((r for r in kept if r[1]), key=lambda r: r[1]) == [(1, a), (None, b), (7, c), (7, d), (3, e), (9, word("f"))]
+
+
 # ---- languages -------------------------------------------------------------------------------------------------------
 
 
