@@ -29,6 +29,13 @@ _PART = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: The length that a country's IBANs have, by the registry.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_LENGTH = {country: n for n, all_ in _LENGTHS.items() for country in all_.split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
 #: Words that raise the score of a kind, and words that lower it.
@@ -95,10 +102,26 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
                 yield m.span()
 
 
+def _iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the IBAN of a proposed span ends: words and numbers after it may be in the span.
+
+    The country's registered length goes first, then the whole span; if the country has none, each shorter one that
+    ends at a space, the longest first. The checksum decides.
+    """
+    ends = [end, *(i for i in range(end - 1, start, -1) if text[i] == " ")]
+    if n := IBAN_LENGTH.get(text[start : start + 2]):
+        ends = [*(e for e in ends if e - start - text.count(" ", start, e) == n), end]
+    return next((e for e in ends if _IBAN.fullmatch(text, start, e) and mod97(text[start:e])), None)
+
+
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
-        if mod97(m.group()):
-            yield m.span()
+    m = _IBAN.search(text)
+    while m:
+        end = _iban_end(text, *m.span())
+        if end:
+            yield m.start(), end
+        # What a failed span holds may start an IBAN; a span has at most 43 characters.
+        m = _IBAN.search(text, end or m.start() + 1)
 
 
 def _ssns(text: str) -> Iterator[tuple[int, int]]:

@@ -126,6 +126,24 @@ def test_checksums_and_context():
     assert [s.kind for s in pii.find("his ssn is 123-45-6789")] == ["ssn"] and not pii.find("order 123-45-6789")
 
 
+@pytest.mark.parametrize(
+    ("text", "ibans"),
+    [
+        ("IBAN AT61 1904 3002 3457 3201 BIC GKCCBEBB", ["AT61 1904 3002 3457 3201"]),
+        ("AT611904300234573201 BIC", ["AT611904300234573201"]),
+        ("AT61 1904 3002 3457 3201 12 May", ["AT61 1904 3002 3457 3201"]),
+        ("BE68 5390 0754 7034 EUR 100", ["BE68 5390 0754 7034"]),
+        ("BE68 5390 0754 7034 AT61 1904 3002 3457 3201", ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201"]),
+        ("REF AB12 3456 7891 BE68 5390 0754 7034 EUR", ["BE68 5390 0754 7034"]),
+        ("ES91 2100 0418 4502 0005 1332 IBAN", ["ES91 2100 0418 4502 0005 1332"]),
+        ("DZ35 0001 2345 6789 0123 4567 EUR", []),
+        ("AT61 1904 3002 3457 3202 BIC", []),
+    ],
+)
+def test_ibans_before_words_and_numbers(text, ibans):
+    assert [text[s.start : s.end] for s in pii.find(text) if s.kind == "iban"] == ibans
+
+
 def test_long_runs_are_linear():
     import time
 
