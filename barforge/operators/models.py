@@ -6,11 +6,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.windows import lag, lead, safe_div
+from .allocation import MAX_GROSS, MAX_WEIGHT, TARGET_VOL, annual_vol, cap, gross_capped
+from .selection import clusters, pair_correlations, profile, representatives, target_correlations
+
 
 def estimator(kind: str, n_features: int, n_rows: int, **params):
     """A classifier by name: logistic (l1, l2, elastic), forest, extra_trees (a forest), boosting, network."""
@@ -44,6 +48,42 @@ def balanced(train: DataFrame, y: str = "label") -> DataFrame:
     return train.withColumn("_w", F.when(F.col(y) == 1, total / (2.0 * max(1, n.get(1, 0)))).otherwise(total / (2.0 * max(1, n.get(0, 0)))))
 
 
+def fold_features(
+    train: DataFrame, test: DataFrame, cols: list[str], method: str = "none", protected: tuple = (), share: float = 0.95, clip: bool = True, least: float = 0.9, policy: str = "target", y: str = "label",
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both parts of a fold with the features of a method fitted on ``train``, and their names: none, corr_cluster, pca or cluster_pca.
+
+    ``protected`` columns pass. Clusters keep one column each. Components take the place of their columns: clipped to the training
+    quantiles and 1e6 if ``clip``, columns of a deviation up to 1e-8 left out, missing values the median, standardised.
+    """
+    if method not in ("none", "corr_cluster", "pca", "cluster_pca"):
+        raise ValueError(f"unknown method {method!r}")
+    fixed, free = [c for c in cols if c in protected], [c for c in cols if c not in protected]
+    if method in ("corr_cluster", "cluster_pca"):
+        grouped = clusters(pair_correlations(train, free), free, least)
+        chosen = {r["representative"] for r in representatives(grouped, profile(train, free), target_correlations(train, free, y), policy).collect()}
+        free = [c for c in free if c in chosen]
+    if method in ("pca", "cluster_pca"):
+        q = prepared(train, free)
+        edge = lambda c: F.greatest(F.lit(max(q[c][1], -1e6)), F.least(F.lit(min(q[c][2], 1e6)), F.col(c).cast("double")))
+        raw = {c: F.when(F.col(c).isNotNull(), edge(c)) if clip else F.col(c).cast("double") for c in free}
+        sd = train.agg(*[F.stddev_samp(raw[c]).alias(c) for c in free]).first()
+        gone = [c for c in free if not (sd[c] or 0.0) > 1e-8]
+        free, old = [c for c in free if c not in gone], free
+        if not free:
+            raise ValueError("no column varies in this fold")
+        full = {c: F.coalesce(raw[c], F.lit(float(q[c][0]))) for c in free}
+        at = train.agg(*[F.struct(F.avg(full[c]), F.stddev_pop(full[c])).alias(c) for c in free]).first()
+        scaled = lambda df: VectorAssembler(inputCols=[f"_fold_{c}" for c in free], outputCol="_fold_vector").transform(df.withColumns({f"_fold_{c}": (full[c] - at[c][0]) / at[c][1] for c in free}))
+        model = PCA(k=len(free), inputCol="_fold_vector", outputCol="_fold_scores").fit(scaled(train))
+        k = min(len(free), int(np.searchsorted(np.cumsum(model.explainedVariance.toArray()), share)) + 1)
+        names = [f"pca_{i + 1:03d}" for i in range(k)]
+        parts = lambda df: model.transform(scaled(df)).withColumns({n: vector_to_array("_fold_scores")[i] for i, n in enumerate(names)}).drop("_fold_scores", "_fold_vector", *[f"_fold_{c}" for c in free], *old)
+        return parts(train), parts(test), [*fixed, *names]
+    drop = [c for c in cols if c not in fixed and c not in free]
+    return train.drop(*drop), test.drop(*drop), [c for c in cols if c not in drop]
+
+
 def fit_predict(train: DataFrame, test: DataFrame, cols: list[str], kind: str, **params) -> tuple[DataFrame, object]:
     """``test`` with y_proba, from a model of ``train`` (both with a label column)."""
     bounds = prepared(train, cols)
@@ -83,46 +123,117 @@ def permutation_importance(test: DataFrame, cols: list[str], predict, repeats: i
     return spark.createDataFrame(rows, "feature string, repeat int, rise double").groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_samp("rise").alias("deviation"))
 
 
-def train_head(rows: DataFrame, cols: list[str], epochs: int = 800, patience: int = 75, rate: float = 0.05, l2: float = 1e-3, exposure: float = 0.01, cap: float = 0.25) -> DataFrame:
-    """Weights of a head w = side x cap x tanh(x b + a)^2 that raise the Sharpe ratio of daily profits; one row a feature, and the bias.
+def head_dataset(predictions: DataFrame, features: DataFrame, bars: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Rows of a head: predictions with their primary_signal (none: 0), the features, next_return, the volatility, and the probability's edge, confidence and gate.
 
-    ``rows``: date, instrument, side, next_return and the features. All rows meet in one group: a portfolio's loss isn't a sum over
-    rows. They are daily bars of one portfolio. The last quarter of dates is held out and stops the training.
+    Only rows with a positive volatility; a last bar's next_return is null.
+    """
+    ret = safe_div("close", lag("close")) - 1
+    nxt = bars.select("date", "instrument", ret.alias("_ret")).select("date", "instrument", lead("_ret").alias("next_return"))
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))
+    rows = predictions.select("date", "instrument", F.coalesce("primary_signal", F.lit(0)).cast("int").alias("primary_signal"), p.alias("prediction"))
+    rows = rows.join(features, ["date", "instrument"], "left").join(nxt, ["date", "instrument"], "left").join(annual_vol(bars), ["date", "instrument"], "left")
+    edge = F.col("prediction") - threshold
+    rows = rows.withColumns({"probability_edge": edge, "probability_confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), edge / (1.0 - threshold))), "probability_gate": (F.col("prediction") > threshold).cast("double")})
+    return rows.where("annualized_ewma_vol > 0")
+
+
+def _capped(raw: np.ndarray, day: np.ndarray, cap: float, gross: float) -> np.ndarray:
+    """Weights clipped by row, then scaled down by date where they add up to more than ``gross``."""
+    w = np.clip(raw, -cap, cap)
+    total = np.bincount(day, np.abs(w))
+    return w * np.where(total > gross, gross / np.where(total > 0, total, 1), 1.0)[day]
+
+
+def _head_parts(part: pd.DataFrame, cols: list[str], target_vol: float) -> tuple[np.ndarray, ...]:
+    """Features (infinite ones are missing), dates from 0 and what a strength of 1 weighs: side x gate x target volatility / volatility."""
+    x = part[cols].to_numpy(float)
+    scale = part["primary_signal"].to_numpy(float) * part["probability_gate"].to_numpy(float) * target_vol / part["annualized_ewma_vol"].to_numpy(float)
+    return np.where(np.isfinite(x), x, np.nan), pd.factorize(part["date"])[0], scale
+
+
+def _annual_sharpe(pnl: np.ndarray) -> float:
+    sd = pnl.std(ddof=1) if len(pnl) > 1 else 0.0
+    return pnl.mean() / sd * 252**0.5 if sd > 0 else np.nan
+
+
+def train_head(
+    rows: DataFrame, cols: list[str], epochs: int = 800, patience: int = 75, rate: float = 0.02, l2: float = 5e-4, exposure: float = 0.10, turnover: float = 0.02,
+    cap: float = 0.25, gross: float = 1.0, target_vol: float = 0.10, held: float = 0.25, seed: int = 42,
+) -> DataFrame:
+    """The parameters of a head that raise the Sharpe ratio of row profits: feature, weight, mean, std; and a ``bias:`` row an instrument.
+
+    weight = side x gate x tanh(x b + bias of the instrument)^2 x target_vol / volatility, capped by row and by date. ``rows`` are
+    of ``head_dataset``; those without a next_return are left out. The squares of uncapped weights and of their changes within an
+    instrument are penalised; the caps are not in the slope, but a row beyond its own cap has none. Missing features take the
+    median where the head is fitted, the mean elsewhere. The last ``held`` of dates stop the training. All rows meet in one
+    group: a portfolio's loss isn't a sum over rows. They are daily bars of one portfolio.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["date", "instrument"]).dropna(subset=["next_return", "side"])
-        x = part[cols].to_numpy(float)
-        x = np.where(np.isnan(x), np.nanmedian(x, 0), x)
-        x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-        day = pd.factorize(part["date"])[0]
-        g = part["side"].to_numpy(float) * part["next_return"].to_numpy(float) * cap
-        n = day.max() + 1
-        cut = n * 3 // 4
-        w, best, kept, wait = np.full(len(cols) + 1, 0.01), -np.inf, None, 0
-        x1 = np.c_[x, np.ones(len(x))]
-
-        def profits(w, keep):
-            t = np.tanh(x1[keep] @ w)
-            return np.bincount(day[keep], t * t * g[keep], n)[: cut if keep is train else None], t
-
-        train, held = day < cut, day >= cut
+        part = part.dropna(subset=["next_return"]).sort_values(["date", "instrument"])
+        dates = np.unique(part["date"].to_numpy())
+        n_held = max(1, int(np.ceil(len(dates) * held))) if len(dates) >= 4 else 0
+        late = part["date"].isin(dates[len(dates) - n_held :]).to_numpy()
+        fit, val = part[~late], part[late]
+        names = sorted(fit["instrument"].unique())
+        val = val[val["instrument"].isin(names)]
+        x, day, scale = _head_parts(fit, cols, target_vol)
+        xv, day_v, scale_v = _head_parts(val, cols, target_vol)
+        x = pd.DataFrame(x).pipe(lambda d: d.fillna(d.median()).fillna(0.0)).to_numpy()
+        mean, sd = x.mean(0), x.std(0)
+        sd = np.where(sd > 0, sd, 1.0)
+        x, xv = (x - mean) / sd, (np.where(np.isnan(xv), mean, xv) - mean) / sd
+        who, who_v = (d["instrument"].map({k: i for i, k in enumerate(names)}).to_numpy(int) for d in (fit, val))
+        r, rv = fit["next_return"].to_numpy(float), val["next_return"].to_numpy(float)
+        # Neighbours in time of one instrument, each instrument's changes averaged.
+        order = np.argsort(who, kind="stable")
+        joined = who[order][1:] == who[order][:-1]
+        old, new = order[:-1][joined], order[1:][joined]
+        share = 1.0 / np.bincount(who[new], minlength=len(names))[who[new]]
+        b, bias = np.random.default_rng(seed).normal(0.0, 0.02, len(cols)), np.zeros(len(names))
+        best, kept, wait, n = -np.inf, (b.copy(), bias.copy()), 0, len(x)
         for _ in range(epochs):
-            p, t = profits(w, train)
-            mu, sd = p.mean(), p.std() + 1e-9
-            # Sharpe ratio's slope by each day's profit, then through tanh squared.
-            slope = (1 / sd - mu * (p - mu) / sd**3) / len(p)
-            inner = 2 * t * (1 - t * t)
-            grad = x1[train].T @ (slope[day[train]] * g[train] * inner - exposure * inner * cap / len(p)) - 2 * l2 * w
-            w = w + rate * grad / (np.linalg.norm(grad) + 1e-9)
-            ph = profits(w, held)[0][cut:]
-            score = ph.mean() / (ph.std() + 1e-9)
-            if score > best:
-                best, kept, wait = score, w.copy(), 0
+            t = np.tanh(x @ b + bias[who])
+            raw = scale * t * t
+            pnl = _capped(raw, day, cap, gross) * r
+            mu = pnl.mean()
+            spread = np.sqrt(np.mean((pnl - mu) ** 2) + 1e-8)
+            slope = 252**0.5 * (1.0 / (n * spread) - mu * (pnl - mu) / (n * spread**3))
+            penalty = 2 * exposure * raw / n
+            change = 2 * turnover * share * (raw[new] - raw[old])
+            penalty[new] += change
+            penalty[old] -= change
+            dz = (slope * r - penalty) * scale * 2 * t * (1 - t * t) * (np.abs(raw) <= cap)
+            b = b + rate * (x.T @ dz - l2 * b)
+            bias = bias + rate * (np.bincount(who, dz, len(names)) - l2 * bias)
+            tv = np.tanh(xv @ b + bias[who_v])
+            score = _annual_sharpe(_capped(scale_v * tv * tv, day_v, cap, gross) * rv) if len(val) else np.nan
+            if np.isnan(score):
+                score = mu / spread * 252**0.5
+            if score > best + 1e-5:
+                best, kept, wait = score, (b.copy(), bias.copy()), 0
             else:
                 wait += 1
-                if wait > patience:
+                if wait >= patience:
                     break
-        return pd.DataFrame({"feature": [*cols, "bias"], "weight": kept, "validation_sharpe": best * 252**0.5})
-
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "feature string, weight double, validation_sharpe double")
+        none = [None] * len(names)
+        return pd.DataFrame({"feature": [*cols, *[f"bias:{k}" for k in names]], "weight": np.concatenate(kept), "mean": [*mean, *none], "std": [*sd, *none], "validation_sharpe": best})
+
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "feature string, weight double, mean double, std double, validation_sharpe double")
+
+
+def head_weights(rows: DataFrame, params: DataFrame, most: float = MAX_WEIGHT, most_gross: float = MAX_GROSS, target_vol: float = TARGET_VOL) -> DataFrame:
+    """``rows`` of ``head_dataset`` of the instruments the head knows, with its conviction, strength, raw, capped and final weight."""
+    known = {r["feature"]: r for r in params.collect()}  # a row a feature and an instrument
+    biases = rows.sparkSession.createDataFrame([(k[5:], r["weight"]) for k, r in known.items() if k.startswith("bias:")], "instrument string, _bias double")
+    z = F.col("_bias")
+    for k, r in known.items():
+        if not k.startswith("bias:"):
+            v = F.col(k).cast("double")
+            finite = F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v)
+            z = z + r["weight"] * (F.coalesce(finite, F.lit(r["mean"])) - r["mean"]) / r["std"]
+    out = rows.join(biases, "instrument").withColumn("neural_conviction", F.tanh(z)).drop("_bias")
+    out = out.withColumn("neural_strength", F.pow("neural_conviction", F.lit(2.0)))
+    raw = F.col("primary_signal") * F.col("probability_gate") * F.col("neural_strength") * target_vol / F.col("annualized_ewma_vol")
+    return gross_capped(out.withColumn("raw_weight", raw).withColumn("capped_weight", cap(F.col("raw_weight"), most)), most=most_gross)

@@ -13,6 +13,13 @@ def numeric_columns(df: DataFrame, denied=("date", "instrument")) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in denied]
 
 
+def least_missing(df: DataFrame, cols: list[str], n: int = 20) -> list[str]:
+    """The ``n`` columns of the smallest missing shares, by name where these are equal. One row reaches the driver."""
+    value = lambda c: F.col(f"`{c}`").cast("double")
+    share = df.agg(*[F.count_if(value(c).isNull() | F.isnan(value(c))).alias(c) for c in cols]).first()
+    return sorted(cols, key=lambda c: (share[c], c))[:n]
+
+
 def long_form(df: DataFrame, cols: list[str], *keys: str) -> DataFrame:
     """keys, feature, value: one row for each column, nulls left out."""
     pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in cols)
@@ -118,6 +125,41 @@ def clean(df: DataFrame, cols: list[str], most_missing: float = 0.5, most_corr:
     return out
 
 
+#: Columns that the workflow drops before it looks at their values: aliases, codes, labels, flags.
+HARD_DROPS = (
+    "hmm_prob_chop", "hmm_market_chop", *(f"hmm_{k}_missing" for k in ("volatility_regime", "return_regime", "market_state")),
+    *(f"hmm_prob_{k}" for k in ("extreme_vol", "downside", "normal_vol", "positive", "low_vol", "weak", "high_vol", "strong_upside", "not_stress")), *(f"hmm_regime_prob_{k}" for k in range(4)),
+    *(f"hmm_regime_{k}" for k in range(4)), *(f"hmm_volatility_{k}" for k in ("extreme_vol", "normal_vol", "low_vol", "high_vol")), *(f"hmm_return_{k}" for k in ("downside", "positive", "weak", "strong_upside")),
+    *(f"hmm_{k}{end}" for end in ("", "_code") for k in ("volatility_regime", "return_regime", "market_state")), "roc_5d", "roc_20d", "roc_63d", "bb_position", "overnight_ret", "intraday_ret", "log_ret", "ret_2d", "ret_3d", "ret_10d",
+)
+
+
+def clean_by_instrument(df: DataFrame, hard: tuple = HARD_DROPS, least: float = 1e-8, keys: tuple = ("date", "instrument", "primary_signal")) -> dict[str, DataFrame]:
+    """Each instrument's rows and columns that stay: hard drops go, then columns of variance ``least`` or less, rows with a missing value, and columns that these rows leave with such a variance.
+
+    Two aggregates, a row an instrument. A column without a variance (fewer than two values) stays and so its missing rows go.
+    """
+    features = [c for c in df.columns if c not in keys and c not in hard]
+    numeric = numeric_columns(df.select(*features), ())
+    value = lambda c: F.nullif(F.col(c).cast("double"), F.lit(float("nan"))) if c in numeric else F.col(c)
+
+    def low(rows):
+        out = {r["instrument"]: r for r in rows.groupBy("instrument").agg(*[F.var_samp(value(c)).alias(c) for c in numeric]).collect()}
+        return {k: {c for c in numeric if r[c] is not None and r[c] <= least} for k, r in out.items()}
+
+    first = low(df)
+    whole = F.lit(False)
+    for k, gone in first.items():
+        there = F.lit(True)
+        for c in features:
+            if c not in gone:
+                there = there & value(c).isNotNull()
+        whole = whole | (F.col("instrument").eqNullSafe(k) & there)
+    rows = df.where(whole)
+    second = low(rows)
+    return {k: rows.where(F.col("instrument").eqNullSafe(k)).select(*[c for c in df.columns if c in keys or (c in features and c not in gone | second.get(k, set()))]) for k, gone in first.items()}
+
+
 def principal_components(df: DataFrame, cols: list[str], share: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """Rows' component scores, and the loadings; as many components as explain ``share`` of the variance. Nulls take the median."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler

@@ -137,13 +137,14 @@ def _importance(kind):
     return query
 
 
-def _head(spark, sf_dir):
-    from ..functions.windows import lead, safe_div
+#: Columns of a head's rows that it doesn't learn from.
+NOT_LEARNED = ("primary_signal", "prediction", "next_return", "annualized_ewma_vol", "open", "high", "low", "close", "volume", "open_interest")
+
 
+def _head(spark, sf_dir):
     bars = bars_of(spark, sf_dir)
-    nxt = bars.select("date", "instrument", (safe_div(lead("close"), "close") - 1).alias("next_return"))
-    rows = model_rows(spark, sf_dir).withColumnRenamed("primary_signal", "side").join(nxt, ["date", "instrument"])
-    return ml.train_head(rows.select("date", "instrument", "side", "next_return", *COLS[:5]), COLS[:5], epochs=200)
+    rows = ml.head_dataset(predictions_of(spark, sf_dir), ta.build_all_features(bars), bars).where("next_return is not null")
+    return ml.train_head(rows, sl.least_missing(rows, sl.numeric_columns(rows, ("date", "instrument", *NOT_LEARNED))))
 
 
 QUERIES = {

@@ -162,3 +162,114 @@ def test_head_and_upsert(spark, sf_dir):
     assert set(COLS) <= set(model_rows(spark, sf_dir).columns)
     t = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
     assert sorted(r["v"] for r in metrics.upsert(t, spark.createDataFrame([("b", 9)], "k string, v int"), "k", "b").collect()) == [1, 3, 9]
+
+
+def plain_head(d, cols, epochs, patience=75, rate=0.02, l2=5e-4, exposure=0.10, turnover=0.02):
+    """The head's training row by row and date by date."""
+    d = d.sort_values(["date", "instrument"]).reset_index(drop=True)
+    dates = sorted(d["date"].unique())
+    late = d["date"].isin(dates[-int(np.ceil(len(dates) / 4)) :])
+    fit, val = d[~late].reset_index(drop=True), d[late].reset_index(drop=True)
+    x = fit[cols].fillna(fit[cols].median())
+    mean, sd = x.mean(), x.std(ddof=0)
+    x, xv = ((x - mean) / sd).to_numpy(), ((val[cols].fillna(mean) - mean) / sd).to_numpy()
+    names = sorted(fit["instrument"].unique())
+    b, a = np.random.default_rng(42).normal(0, 0.02, len(cols)), np.zeros(len(names))
+    parts = lambda f: (f["instrument"].map(names.index).to_numpy(), (f["primary_signal"] * f["probability_gate"] * 0.10 / f["annualized_ewma_vol"]).to_numpy(), f["next_return"].to_numpy())
+
+    def caps(w, f):
+        w = np.clip(w, -0.25, 0.25)
+        for day in f["date"].unique():
+            at = (f["date"] == day).to_numpy()
+            w[at] *= min(1.0, 1.0 / max(np.abs(w[at]).sum(), 1e-300))
+        return w
+
+    (who, scale, r), (who_v, scale_v, rv) = parts(fit), parts(val)
+    best, kept, wait = -np.inf, None, 0
+    for _ in range(epochs):
+        t = np.tanh(x @ b + a[who])
+        raw = scale * t**2
+        pnl = caps(raw, fit) * r
+        spread = np.sqrt(pnl.var() + 1e-8)
+        slope = 252**0.5 * (1 / (len(r) * spread) - pnl.mean() * (pnl - pnl.mean()) / (len(r) * spread**3))
+        penalty = 2 * exposure * raw / len(raw)
+        for k in range(len(names)):
+            at = np.flatnonzero(who == k)
+            step = np.diff(raw[at])
+            for i, s in enumerate(step):
+                penalty[at[i + 1]] += 2 * turnover * s / len(step)
+                penalty[at[i]] -= 2 * turnover * s / len(step)
+        dz = (slope * r - penalty) * scale * 2 * t * (1 - t**2) * (np.abs(raw) <= 0.25)
+        b = b + rate * (x.T @ dz - l2 * b)
+        a = a + rate * (np.array([dz[who == k].sum() for k in range(len(names))]) - l2 * a)
+        p = caps(scale_v * np.tanh(xv @ b + a[who_v]) ** 2, val) * rv
+        score = p.mean() / p.std(ddof=1) * 252**0.5
+        if score > best + 1e-5:
+            best, kept, wait = score, (b, a), 0
+        elif (wait := wait + 1) >= patience:
+            break
+    return {**dict(zip(cols, kept[0], strict=True)), **{f"bias:{k}": v for k, v in zip(names, kept[1], strict=True)}}, best
+
+
+def test_head_trains_with_gate_volatility_caps_biases_and_penalties(spark):
+    rng = np.random.default_rng(5)
+    n = 80
+    cols = ["f", "g"]
+    rows = [(f"d{i:03}", k, int(rng.choice([-1, 0, 1])), float(rng.random() > 0.3), float(rng.uniform(0.005, 0.4)), float(rng.normal(0, 0.02)), None if rng.random() < 0.1 else float(rng.normal()), float(rng.normal())) for i in range(n) for k in "XYZ" if rng.random() > 0.1]
+    schema = "date string, instrument string, primary_signal int, probability_gate double, annualized_ewma_vol double, next_return double, f double, g double"
+    df = spark.createDataFrame(rows, schema)
+    got = models.train_head(df, cols, epochs=300)
+    have = {r["feature"]: r for r in got.collect()}
+    want, best = plain_head(df.toPandas(), cols, 300)
+    assert {k: r["weight"] for k, r in have.items()} == pytest.approx(want, rel=1e-6) and have["f"]["validation_sharpe"] == pytest.approx(best, rel=1e-6)
+    out = models.head_weights(df, got).toPandas()
+    assert len(out) == len(rows) and (out["weight"].abs() <= 0.25).all() and (out.groupby("date")["weight"].apply(lambda w: w.abs().sum()) <= 1 + 1e-9).all()
+    row = out[out["f"].notna() & (out["primary_signal"] != 0) & (out["probability_gate"] > 0)].iloc[0]
+    z = sum(have[c]["weight"] * (row[c] - have[c]["mean"]) / have[c]["std"] for c in cols) + have[f"bias:{row['instrument']}"]["weight"]
+    assert row["raw_weight"] == pytest.approx(row["primary_signal"] * np.tanh(z) ** 2 * 0.1 / row["annualized_ewma_vol"])
+
+
+def test_head_dataset_and_feature_choice(spark):
+    bars = spark.createDataFrame([(f"2020-01-{i + 1:02}", "X", 100.0 + i % 3) for i in range(30)], "date string, instrument string, close double")
+    p = spark.createDataFrame([("2020-01-25", "X", 1, 0.75), ("2020-01-26", "X", None, 0.4), ("2020-01-30", "X", -1, 1.5), ("2020-01-05", "X", 1, 0.9)], "date string, instrument string, primary_signal int, prediction double")
+    feats = bars.selectExpr("date", "instrument", "1.0D as b", "if(date < '2020-01-26', null, 2.0D) as c", "1.0D as a")
+    rows = {r["date"][-2:]: r for r in models.head_dataset(p, feats, bars).collect()}
+    assert set(rows) == {"25", "26", "30"} and rows["26"]["primary_signal"] == 0 and rows["30"]["next_return"] is None
+    assert [(r["probability_edge"], r["probability_confidence"], r["probability_gate"]) for r in (rows["25"], rows["30"])] == [(0.25, 0.5, 1.0), (0.5, 1.0, 1.0)] and rows["26"]["probability_gate"] == 0.0
+    assert selection.least_missing(models.head_dataset(p, feats, bars), ["c", "b", "a"], 2) == ["a", "b"]
+
+
+def test_clean_by_instrument_passes_twice(spark):
+    rows = [(f"d{i}", k, 1, float(i), 5.0 if k == "X" else float(i % 2), (None if i < 2 else float(i)) if k == "X" else 1.0 * i, (9.0 if i > 1 else 1.0), float(i), "s") for k in "XY" for i in range(6)]
+    df = spark.createDataFrame(rows, "date string, instrument string, primary_signal int, a double, flat double, gap double, late double, roc_5d double, text string")
+    out = selection.clean_by_instrument(df)
+    assert out["X"].columns == ["date", "instrument", "primary_signal", "a", "gap", "text"] and sorted(r["date"] for r in out["X"].collect()) == ["d2", "d3", "d4", "d5"]
+    assert out["Y"].columns == ["date", "instrument", "primary_signal", "a", "flat", "gap", "late", "text"] and out["Y"].count() == 6
+    assert len(selection.HARD_DROPS) == len(set(selection.HARD_DROPS)) == 46
+
+
+def test_fold_features_are_fitted_on_the_training_part(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 2))
+    rows = [(i, int(x[i, 0] > 0), float(x[i, 0]), float(2 * x[i, 0]), None if i == 7 else float(x[i, 1]), 1.0, float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, label int, a double, b double, c double, k double, p double")
+    train, test = df.where("i < 150"), df.where("i >= 150").withColumn("c", F.col("c") * 100)
+    cols = ["a", "b", "c", "k", "p"]
+    assert models.fold_features(train, test, cols)[2] == cols
+    tr, te, names = models.fold_features(train, test, cols, "corr_cluster", protected=("p",))
+    assert names == ["a", "c", "k", "p"] and "b" not in te.columns
+    tr, te, names = models.fold_features(train, test, cols, "pca", protected=("p",), share=0.999)
+    raw = train.toPandas()[["a", "b", "c"]]
+    lo, hi = raw.quantile(0.01), raw.quantile(0.99)
+    z = raw.clip(lo, hi, axis=1)
+    mid = z.median()
+    z = z.fillna(mid)
+    mean, sd = z.mean(), z.std(ddof=0)
+    values, vectors = np.linalg.eigh(np.cov(((z - mean) / sd).T))
+    late = ((test.toPandas()[["a", "b", "c"]].clip(lo, hi, axis=1).fillna(mid) - mean) / sd).to_numpy() @ vectors[:, ::-1]
+    assert names == ["p", "pca_001", "pca_002"]
+    for k, n in enumerate(names[1:]):
+        np.testing.assert_allclose(np.abs(te.orderBy("i").toPandas()[n]), np.abs(late[:, k]), atol=1e-6)
+    assert models.fold_features(train, test, cols, "cluster_pca", share=1.0)[2] == ["pca_001", "pca_002", "pca_003"]
+    with pytest.raises(ValueError):
+        models.fold_features(train, test, cols, "other")
