@@ -233,8 +233,8 @@ def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
 
     ``lang_pred`` is the language of the lowest cross-entropy for a character (``und`` if the text is null or has no
     letter, or nothing was learned); ties go to the first language. ``score``, from 0 to 1, is its share among the
-    languages, each weighed by exp(-entropy * min(characters, 40)); 0 for ``und``. ``rejected`` texts are ``und`` or
-    further above the language's usual cross-entropy than its held-out texts allow. Document ids may be null or repeat; an
+    languages, each weighed by exp(-entropy * min(characters, 40)); 0 for ``und``. ``rejected`` texts are null, have
+    no letter, or are further above the language's usual cross-entropy than its held-out texts allow; without a model only the first two. Document ids may be null or repeat; an
     empty table gives no rows; other columns aren't read.
     """
     slim = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text"))
@@ -251,7 +251,7 @@ def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
 
 def judge(model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     if model is None:
-        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
+        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), codes(texts)[1] == 0
     h, n, letters = model.entropies(texts)
     best = h.argmin(1)
     low = h[np.arange(len(h)), best]

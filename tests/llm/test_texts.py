@@ -264,6 +264,12 @@ def test_language_on_odd_rows(odd, empty):
     assert langid.accepted(odd).schema == odd.schema
 
 
+def test_without_labels_only_texts_without_letters_go(spark):
+    rows = [(1, "a plain text", None), (2, "", None), (3, None, None), (4, "12 !!", None), (5, "привет", None)]
+    kept = langid.accepted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 5]
+
+
 # ---- quality ---------------------------------------------------------------------------------------------------------
 
 
