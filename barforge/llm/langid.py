@@ -15,8 +15,8 @@ from .common import col, crc_mod, map_rows, text_chunks
 
 #: Characters of the longest gram.
 ORDER = 4
-#: Training texts of each language, in characters; whole texts in the order of a hash, of these one in CALIBRATE to set the rejection.
-#: This is the documented bound on the sample of labelled rows that the models are fitted on.
+#: Training texts of each language, in characters; distinct texts in the order of a hash, of these one in CALIBRATE to set the rejection.
+#: This is the documented bound on the sample of labelled rows that the models are fitted on. A text gives one part in CALIBRATE of it at most.
 TRAIN_CHARS = 1_500_000
 CALIBRATE = 4
 #: Bins of the hash that orders texts, for each halving of it.
@@ -200,18 +200,23 @@ def fit(samples: dict[str, list[str]], held: dict[str, list[str]]) -> Model:
 
 
 def train(docs: DataFrame, usable: Column | None = None, text: str = "text", lang: str = "lang", chars: int = TRAIN_CHARS) -> Model | None:
-    """Fits on a bounded sample: for each non-null language, whole texts in the order of a hash of the text until ``chars`` are reached.
+    """Fits on a bounded sample: for each non-null language, distinct texts in the order of a hash of the text until ``chars`` are reached.
 
-    None if no row has a language and a text. Only ``usable`` rows count. Characters are first summed by language and bin
-    of the hash, bins being BINS to each halving of it: a map-side combine to at most 30 * BINS + 1 rows a language, however
-    many texts there are. The lowest bins that reach the bound, give or take one bin, are the sample.
+    None if no row has a language and a text. Only ``usable`` rows count. A text counts once, however many copies it has, with
+    its first ``chars // CALIBRATE`` characters. Characters of texts, told apart by 64 bits of hash, are summed by language and bin
+    of the hash, bins being BINS to each halving of it: map-side combines to at most 30 * BINS + 1 rows a language, however
+    many texts there are. The lowest bins that reach the bound, give or take one bin, are the sample. A language of CALIBRATE texts
+    or more always has some held out.
     """
     rows = docs.where(col(docs, lang).isNotNull() & (F.length(col(docs, text)) > 0))
     if usable is not None:
         rows = rows.where(usable)
-    draw = F.greatest(F.lit(1), F.pmod(F.xxhash64(col(docs, text), F.lit("lang")), F.lit(1 << 30)))
-    depth = F.floor(F.log2(F.lit(float(1 << 30)) / draw) * BINS).cast("int")  # the larger, the lower the hash
-    bins = rows.groupBy(col(docs, lang).alias("lang"), depth.alias("depth")).agg(F.sum(F.length(col(docs, text)).cast("long")).alias("n"))
+    most = max(1, chars // CALIBRATE)
+    mark = F.xxhash64(col(docs, text), F.lit("lang"))
+    order = lambda m: F.greatest(F.lit(1), F.pmod(m, F.lit(1 << 30)))
+    bin_of = lambda m: F.floor(F.log2(F.lit(float(1 << 30)) / order(m)) * BINS).cast("int")  # noqa: E731 - the larger, the lower the hash
+    once = rows.groupBy(col(docs, lang).alias("lang"), mark.alias("mark")).agg(F.max(F.least(F.length(col(docs, text)), F.lit(most)).cast("long")).alias("n"))
+    bins = once.groupBy("lang", bin_of(F.col("mark")).alias("depth")).agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = bins.withColumn("before", before).where(F.col("before") < chars).groupBy("lang").agg(F.min("depth").alias("last"))
     ends = {r["lang"]: r["last"] for r in last.collect()}  # one row a language
@@ -219,12 +224,16 @@ def train(docs: DataFrame, usable: Column | None = None, text: str = "text", lan
         return None
     chosen = F.lit(False)
     for k, end in ends.items():
-        chosen = chosen | ((col(docs, lang) == k) & (depth >= end))
-    sample = rows.where(chosen).select(col(docs, lang).alias("lang"), col(docs, text).alias("text"), draw.alias("draw")).distinct()
+        chosen = chosen | ((col(docs, lang) == k) & (bin_of(mark) >= end))
+    sample = rows.where(chosen).select(col(docs, lang).alias("lang"), F.substring(col(docs, text), 1, most).alias("text"), order(mark).alias("draw")).distinct()
     used: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["draw"], r["text"])):
         (held if r["draw"] % CALIBRATE == 0 else used).setdefault(r["lang"], []).append(r["text"])
+    for k, texts in used.items():
+        if k not in held and len(texts) >= CALIBRATE:
+            held[k] = texts[1::CALIBRATE]
+            used[k] = [t for i, t in enumerate(texts) if i % CALIBRATE != 1]
     return fit({k: used.get(k) or held[k] for k in ends}, held)
 
 

@@ -270,6 +270,21 @@ def test_without_labels_only_texts_without_letters_go(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 5]
 
 
+def test_copies_and_long_texts_do_not_fill_the_sample(spark, monkeypatch):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    texts = [" ".join(word() for _ in range(20)) for _ in range(200)]
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda used, held: seen.update(used=used["xx"], held=held.get("xx", [])))
+    for extra in ([texts[0]] * 3000, [" ".join(word() for _ in range(20_000))]):
+        for first in range(0, 200, 40):
+            rows = [(t, "xx") for t in [*texts[first : first + 40], *[e if len(extra) == 1 else texts[first] for e in extra]]]
+            langid.train(spark.createDataFrame(rows, "text string, lang string"), chars=4000)
+            sample = seen["used"] + seen["held"]
+            assert len(sample) == len(set(sample)) and sum(map(len, sample)) >= 4000 and max(map(len, sample)) <= 1000
+            assert seen["used"] and seen["held"]
+
+
 # ---- quality ---------------------------------------------------------------------------------------------------------
 
 
