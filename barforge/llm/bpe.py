@@ -184,8 +184,10 @@ def _run_over(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: st
     return slim.mapInArrow(run, _schema(slim.schema["doc_id"], *[T.StructField(n, t) for n, (_, t) in names.items()]))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (array of int) of every whole text, one row for each row of ``docs``.
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (array of int) of every whole text, one row for each row of ``docs``; if ``decoded``, decoded_sha256 too.
+
+    That is of the bytes that these very ids decode to.
 
     Null and empty texts have no ids. Ids of documents may be null or repeat. An empty table gives no rows; other
     columns aren't read. Strings of special tokens are ordinary text.
@@ -193,9 +195,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
 
     def row(pieces, bpe):
         ids = [int(i) for i in " ".join([bpe.memo[p][0] for p in pieces]).split()] if pieces else []
-        return len(ids), ids
+        return (len(ids), ids, hashlib.sha256(bpe.decode(ids)).hexdigest()) if decoded else (len(ids), ids)
 
-    return _run_over(docs, ranks, pattern, doc_id, text, {"n_tokens": (pa.int64(), T.LongType()), "ids": (pa.list_(pa.int32()), T.ArrayType(T.IntegerType()))}, row)
+    names = {"n_tokens": (pa.int64(), T.LongType()), "ids": (pa.list_(pa.int32()), T.ArrayType(T.IntegerType()))}
+    return _run_over(docs, ranks, pattern, doc_id, text, names | ({"decoded_sha256": (pa.string(), T.StringType())} if decoded else {}), row)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -29,10 +29,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each document."""
+    """doc_id, n_tokens, ids and decoded_sha256 (of what the ids decode to) of each document."""
     import public_tokenizers
 
-    return bpe.encode(docs, bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    return bpe.encode(docs, bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, decoded=True)
 
 
 STAGES = [("language_id", language), ("near_duplicates", dedup), ("personal_data", privacy), ("mixture", mixture), ("tokens", tokens)]

@@ -94,6 +94,16 @@ def test_token_queries_on_odd_rows(odd, empty, ranks):
     assert bpe.encode(empty, ranks, P.PATTERN).count() == 0 == tokencount.token_counts(empty, tokencount.load_spec(P.path("byte_bpe_50k.json"))).count()
 
 
+def test_the_token_stage_decodes_its_ids(spark, odd, ranks):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.tokens(spark, odd, "").collect()
+    by = {r["doc_id"]: r for r in rows}
+    codec = bpe.ByteBPE(ranks, P.PATTERN)
+    assert len(rows) == 8 and all(r["decoded_sha256"] == hashlib.sha256(codec.decode(r["ids"])).hexdigest() and len(r["ids"]) == r["n_tokens"] for r in rows)
+    assert by[4]["decoded_sha256"] == hashlib.sha256(LONG.encode()).hexdigest() and by[1]["ids"] == []
+
+
 # ---- personal data ---------------------------------------------------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
