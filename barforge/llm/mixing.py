@@ -79,15 +79,37 @@ def copies(sized: DataFrame, by_source: DataFrame, seed: str = SEED) -> DataFram
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it, with its columns only.
 
-    Null ids draw as an empty id; null sources are one source; a document without words, in a source whose rate is
-    below 1, stays or goes by the same draw. An empty table gives an empty one. Columns of other names pass through.
+    A unique id draws alone. Rows that share an id, or have none, draw by it, source, text and, where these agree too, a number
+    from 0 to the rows that do: so each source comes near its target whatever its ids. Null sources are one source; a document
+    without words, in a source whose rate is below 1, stays or goes by the same draw. An empty table gives an empty one. Columns
+    of other names pass through.
     """
-    name_n, name_key, name_take = fresh(docs, "size", "key", "copies")
+    name_n, name_key, name_take, name_id, name_same, name_part, name_before = fresh(docs, "size", "key", "copies", "id", "same", "part", "before")
     by = materialize(targets(materialize(sizes(docs, doc_id, text, source), "sizes")), "targets")
     b = by.select(F.col("source").alias(name_key), _rate().alias(name_n))
-    joined = docs.join(b, col(docs, source).eqNullSafe(b[name_key]))
-    taken = joined.withColumn(name_take, _copies(F.col(name_n), col(docs, doc_id), seed)).where(F.col(name_take) > 0)
-    return taken.withColumn(name_take, F.explode(F.sequence(F.lit(1), F.col(name_take)))).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    joined = docs.join(b, col(docs, source).eqNullSafe(b[name_key])).drop(name_key)
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+    def repeat(rows, drawn_by):
+        taken = rows.withColumn(name_take, _copies(F.col(name_n), drawn_by, seed)).where(F.col(name_take) > 0)
+        return taken.withColumn(name_take, F.explode(F.sequence(F.lit(1), F.col(name_take)))).select(*columns)
+
+    times = docs.groupBy(col(docs, doc_id).alias(name_id)).agg(F.count("*").alias(name_same)).where(F.col(name_same) > 1)
+    shared = materialize(times.select(name_id), "shared_ids")
+    if shared.isEmpty():
+        return repeat(joined, col(joined, doc_id))
+    same_id = col(joined, doc_id).eqNullSafe(shared[name_id])
+    text_of = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    parts = [text_of(col(joined, c)) for c in (doc_id, source, text)]
+    marked = joined.join(shared, same_id, "left_semi").withColumns({name_same: F.md5(F.concat_ws("\0", *parts).cast("binary")), name_part: F.spark_partition_id()})
+    many = materialize(marked, "shared")  # the parts stay as they were
+    # Numbers within rows of one hash: places in each part, after those of the parts before.
+    counts = many.groupBy(name_same, name_part).count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(name_same).orderBy(name_part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(name_same, name_part).orderBy(F.lit(0))) - 1
+    numbered = many.withColumn(name_key, place).join(counts.select(name_same, name_part, before.alias(name_before)), [name_same, name_part])
+    drawn_by = F.concat_ws(":", F.col(name_same), (F.col(name_key) + F.col(name_before)).cast("string"))
+    return repeat(joined.join(shared, same_id, "left_anti"), col(joined, doc_id)).unionByName(repeat(numbered, drawn_by))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -391,6 +391,18 @@ def test_targets_and_copies(spark):
     assert {r["doc_id"]: r["count"] for r in mixed} == {k: v for k, v in again.items() if v}
 
 
+def test_sources_of_null_and_repeated_ids_come_near_their_targets(spark):
+    rows = [(None, f"w {i}", "a") for i in range(800)] + [(7, "one two", "b")] * 800 + [(10_000 + i, "x y", "c") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r["source"]: r["target"] for r in mixing.targets(mixing.sizes(docs)).collect()}
+    counts = []
+    for parts in (1, 6):
+        got = {r["source"]: r["n"] for r in mixing.mix(docs.repartition(parts)).groupBy("source").agg(F.count("*").alias("n")).collect()}
+        assert {k: 2 * v for k, v in got.items()} == pytest.approx(want, rel=0.1)
+        counts.append(got)
+    assert counts[0] == counts[1]
+
+
 def test_mixing_on_odd_rows(odd, empty):
     out = mixing.mix(odd)
     assert out.columns == odd.columns and out.count() > 0
