@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Scratch folder where neither the session nor its context names one, as in tests.
+#: Scratch folder of local mode, where neither the session nor its context names one.
 LOCAL_SCRATCH = "/tmp/checkpoints/barforge"
 
 #: A word, as the contracts of this package count them.
@@ -18,8 +19,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, else the context's, else a local one."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, else the context's; in local mode, where all is one machine, else a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
     return (named or LOCAL_SCRATCH).rstrip("/")
 
 
