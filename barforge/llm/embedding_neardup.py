@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import logging
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,26 +15,29 @@ from .common import materialize
 from .components import connected_components
 from .hnsw import Hnsw
 from .unionfind import Forest
-from .vectors import dealt, each, finite, keyed, matrix
+from .vectors import celled, dealt, each, finite, keyed, matrix
+
+_log = logging.getLogger(__name__)
 
 #: Cosine from which vectors link.
 COSINE = 0.9
 #: Distinct vectors in a shard's graph, and distinct queries in a block.
-SHARD, BLOCK = 16384, 16384
-#: Bytes of vectors that a shard or block has at most, whatever its rows; 12 bytes a component.
-SHARD_BYTES = 32 << 20
-#: Shards while there are few vectors, of at least so many each.
-LEAST_SHARDS, LEAST_ROWS = 4, 256
-#: Beam of the first search, and how much wider each next one is.
-BEAM, WIDER = 32, 4
-#: Queries of a block whose links a scan of the shard counts, and the share of them the beam must find.
-AUDIT, RECALL = 64, 0.99
+SHARD, BLOCK = 16384, 131072
+#: Bytes of vectors that a shard has at most, whatever its rows, counting 8 a component; and a block.
+SHARD_BYTES, BLOCK_BYTES = 32 << 20, 64 << 20
+#: Shards and blocks while there are few vectors, of at least so many each.
+LEAST_SHARDS, LEAST_BLOCKS, LEAST_ROWS = 4, 8, 256
+#: Beam of the first search; each next one is twice as wide. Beyond the widest one an exact pass over the shard decides.
+BEAM, WIDEST = 16, 256
+#: Planted probes of a shard, audited queries of each kind of a cell, and the recall that beams must reach in both.
+PROBES, AUDIT, RECALL = 512, 64, 0.99
 #: Queries that search at once.
 ROWS = 256
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
     """Rows of length 1 in double precision; scaled first, so that no square overflows."""
+    v = v.astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
@@ -42,40 +47,103 @@ def _scan(q: np.ndarray, x: np.ndarray, least: float) -> list[np.ndarray]:
     return [np.flatnonzero(r) for r in near]
 
 
-def shard_links(graph: Hnsw, x: np.ndarray, q: np.ndarray, least: float = COSINE, beam: int = BEAM) -> list[np.ndarray]:
-    """The rows of ``x`` (unit, double) that link with each row of ``q``, by beams that widen until nothing is missing from the audit.
+def probes(x: np.ndarray, least: float, n: int = PROBES, seed: int = 3) -> np.ndarray:
+    """Unit vectors that each have a link by construction: a row of ``x`` turned away until its cosine is just above ``least``.
+
+    Every other one is turned towards another row, the rest in a random direction. In one dimension, or for a single row, rows themselves.
+    """
+    rng = np.random.default_rng(seed)
+    at, to = rng.integers(0, len(x), (2, n))
+    turn = rng.normal(size=(n, x.shape[1]))
+    turn[::2] = x[to][::2]
+    turn -= (turn * x[at]).sum(1, keepdims=True) * x[at]
+    size = np.sqrt((turn * turn).sum(1, keepdims=True))
+    turn = np.where(size > 1e-6, turn / np.maximum(size, 1e-6), 0.0)
+    near = min(1.0, least + 1e-6)
+    return _unit(near * x[at] + (1.0 - near * near) ** 0.5 * turn)
+
+
+class Shard:
+    """A graph with its rows in double precision, and how near a query must come to a node to link with one of its members."""
+
+    def __init__(self, graph: Hnsw, x: np.ndarray, least: float) -> None:
+        self.graph, self.x, self.least = graph, x, least
+        angle = np.arccos(np.clip(least, -1, 1)) + np.arccos(np.clip(graph.least - 1e-6, -1, 1))
+        self.enough = np.where(graph.least == 1.0, least, np.cos(np.minimum(angle, np.pi))) - 1e-4
+        self.lowest = self.enough.min(initial=least)
+        self.order = np.argsort(graph.lead, kind="stable")
+        self.ends = np.searchsorted(graph.lead[self.order], np.arange(len(x) + 1))
+        self.nodes = int((graph.lead == np.arange(len(x))).sum())
+
+    def members(self, nodes: np.ndarray) -> np.ndarray:
+        if len(nodes) == 1:
+            return self.order[self.ends[nodes[0]] : self.ends[nodes[0] + 1]]
+        return np.concatenate([self.order[self.ends[i] : self.ends[i + 1]] for i in nodes.tolist()])
+
+    def search(self, q: np.ndarray, beam: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Links of each query among all rows by one beam, verified in double precision; and its two best similarities to nodes.
+
+        A query whose beam ends where a node's members may still link may have more of them: its links come from an exact pass over the
+        shard, however many they are.
+        """
+        found: list[np.ndarray] = []
+        top = np.full((len(q), 2), -2.0)
+        none = np.zeros(0, np.int64)
+        for i in range(0, len(q), ROWS):
+            part = q[i : i + ROWS]
+            ids, sims = self.graph.search(part.astype(np.float32), beam)
+            top[i : i + ROWS, : sims.shape[1]] = sims[:, :2]
+            near = (sims >= self.enough[np.maximum(ids, 0)]) & (ids >= 0)
+            rows = [none] * len(part)
+            full = (sims[:, -1] >= self.lowest) & (ids.shape[1] < self.nodes)
+            for k in np.flatnonzero(near.any(1) & ~full).tolist():
+                r = self.members(ids[k, near[k]])
+                rows[k] = r[self.x[r] @ part[k] >= self.least]
+            if full.any():
+                for k, r in zip(np.flatnonzero(full).tolist(), _scan(part[full], self.x, self.least), strict=True):
+                    rows[k] = r
+            found += rows
+        return found, top
+
+
+def _recall(found: list[np.ndarray], truth: list[np.ndarray], own: np.ndarray) -> float:
+    """The mean over queries that have links, their own rows aside, of the share found; 1 without such queries."""
+    shares = [np.isin(t, f).mean() for t, f in ((t[t != o], f) for t, f, o in zip(truth, found, own, strict=True)) if len(t)]
+    return float(np.mean(shares)) if shares else 1.0
+
+
+def audited_beam(shard: Shard, beam: int = BEAM) -> tuple[int, float]:
+    """The narrowest beam by which planted probes find RECALL of their links, and that recall; WIDEST * 2 if none does."""
+    p = probes(shard.x, shard.least)
+    truth, own = _scan(p, shard.x, shard.least), np.full(len(p), -1)
+    while beam <= WIDEST:
+        got = _recall(shard.search(p, beam)[0], truth, own)
+        if got >= RECALL or beam >= shard.nodes:
+            return beam, got
+        beam *= 2
+    return beam, 1.0
+
+
+def shard_links(shard: Shard, q: np.ndarray, own: np.ndarray, beam: int = BEAM) -> tuple[list[np.ndarray], float, int]:
+    """The shard's rows that link with each row of ``q`` (unit, double), the audit's recall and its number of queries.
 
-    A query whose beam holds nothing but links searches again with a wider one. An audit counts all links of a few
-    queries, spread over the block; while the beams find too few of these, all queries search again. A beam that
-    would hold a quarter of the shard is a scan of it. Cosines are verified in double precision.
+    ``own`` is the row that is the query itself, or -1. The audit scans the shard for the queries whose best other entry is nearest to
+    the cosine of a link, where links are the easiest to miss, and for as many spread over the block. While too few of these links are found, all queries search again
+    by a beam twice as wide; past the widest an exact pass over the shard decides.
     """
-    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
-    sample = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    truth = [len(r) for r in _scan(q[sample], x, least)]
-    todo = np.arange(len(q))
-    while len(todo):
-        wide = beam * 4 >= len(x)
-        again = []
-        for i in range(0, len(todo), ROWS):
-            at = todo[i : i + ROWS]
-            if wide:
-                for k, r in zip(at, _scan(q[at], x, least), strict=True):
-                    found[k] = r
-                continue
-            ids, sims = graph.search(q[at].astype(np.float32), beam)
-            for k, row, sim in zip(at.tolist(), ids, sims, strict=True):
-                row = row[sim >= least - 1e-4]
-                found[k] = row[x[row] @ q[k] >= least]
-                if len(row) == ids.shape[1]:
-                    again.append(k)
-        if wide:
-            break
-        todo = np.array(again, np.int64)
-        beam *= WIDER
-        got = sum(len(found[k]) for k in sample)
-        if not len(todo) and got < RECALL * sum(truth):
-            todo = np.arange(len(q))
-    return found
+    x, least = shard.x, shard.least
+    while True:
+        if beam > WIDEST:
+            found = [r for i in range(0, len(q), ROWS) for r in _scan(q[i : i + ROWS], x, least)]
+            return found, 1.0, len(q)
+        found, top = shard.search(q, beam)
+        other = np.where(own >= 0, top[:, 1], top[:, 0])  # a query in the shard is its own best
+        sample = np.union1d(np.argsort(np.abs(other - least), kind="stable")[:AUDIT], np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
+        truth = _scan(q[sample], x, least)
+        recall = _recall([found[k] for k in sample], truth, own[sample])
+        if recall >= RECALL or beam >= shard.nodes:
+            return found, recall, len(sample)
+        beam *= 2
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -84,8 +152,8 @@ def _pack(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def near_duplicates(vectors: DataFrame, least: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", shard: int = SHARD) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row for each row of ``vectors``.
+def near_duplicates(vectors: DataFrame, least: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", shard: int = SHARD, with_recall: bool = False) -> DataFrame:
+    """vec_id, n_links, component_id, kept: one row for each row of ``vectors``; with ``with_recall`` also recall, the least that an audit measured.
 
     ``n_links`` counts the other rows whose cosine with this one is ``least`` or more; ``component_id`` is the smallest vec_id
     that links reach, itself included; ``kept`` is whether it's the row's own. Vectors that are null, empty or zero, or hold null
@@ -94,9 +162,11 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, vec_id: str = "ve
     columns, labels among them, aren't read.
 
     Equal vectors are one class from the start. Classes are dealt by a hash to shards of bounded size, and one task
-    builds each shard's graph. Every class then searches every shard, in blocks of bounded size: a cell returns each query's
+    builds each shard's graph, in which near copies are members of one node, and widens its beam until planted probes, a little above ``least`` from a row, find that row. Every
+    class then searches every shard, in blocks of bounded size, and each of these cells is audited on its own links: it returns each query's
     count of linked rows and a spanning forest of its links, so that no cell returns more rows than its block and
-    shard have, however many pairs link. Components unite the forests.
+    shard have, however many pairs link. Components unite the forests. Links are symmetric but each side searches for itself: a
+    link that only one side finds joins the components and counts for that side.
     """
     spark = vectors.sparkSession
     rows = keyed(vectors, vec_id, embedding)
@@ -104,50 +174,68 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, vec_id: str = "ve
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
     slim = materialize(rows.select("vec_id", "k1", "k2", "good"), "rows")
     members = rows.where("good").groupBy("k1", "k2").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("v").alias("v"))
-    # A class is named by its key's hash: its ids may all be null.
-    classes = materialize(members.withColumn("c", F.xxhash64("k1", "k2")), "classes")
+    # A class is named by its key's hash: its ids may all be null. Floats travel as floats.
+    kind = vectors.schema[embedding].dataType.simpleString()
+    ship = "array<float>" if kind in ("array<float>", "array<tinyint>", "array<smallint>") else "array<double>"
+    classes = materialize(members.withColumn("c", F.xxhash64("k1", "k2")).withColumn("v", F.col("v").cast(ship)), "classes")
     count, dims = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     if not count:
-        return slim.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    most = max(256, SHARD_BYTES // (12 * dims))
-    shard, block = min(shard, most), min(BLOCK, most)
+        none = slim.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+        return none.withColumn("recall", F.lit(1.0)) if with_recall else none
+    shard, block = min(shard, max(256, SHARD_BYTES // (8 * dims))), min(BLOCK, max(256, BLOCK_BYTES // (8 * dims)))
     shards = max(-(-count // shard), min(LEAST_SHARDS, max(1, count // LEAST_ROWS)))
-    blocks = max(-(-count // block), min(LEAST_SHARDS, max(1, count // (4 * LEAST_ROWS))))
+    blocks = max(-(-count // block), min(LEAST_BLOCKS, max(1, count // (4 * LEAST_ROWS))))
 
     def build(table: pa.Table) -> pa.Table:
-        x = _unit(matrix(table["v"], dims))
         order = np.argsort(table["c"].to_numpy(), kind="stable")  # the order of rows in a shuffle isn't fixed
-        x, c, n = x[order], table["c"].to_numpy()[order], table["n"].to_numpy()[order]
+        v, c, n = matrix(table["v"], dims)[order], table["c"].to_numpy()[order], table["n"].to_numpy()[order]
+        x = _unit(v)
         graph = Hnsw(x)
-        packed = _pack(c=c, n=n, double=x, **graph.arrays())
-        return pa.table({"s": pa.array([table["s"][0].as_py()], pa.int32()), "graph": pa.array([packed], pa.binary())})
+        beam, recall = audited_beam(Shard(graph, x, least))
+        packed = _pack(c=c, n=n, v=v, beam=np.array(beam), **graph.links())
+        return pa.table({"s": pa.array([table["s"][0].as_py()], pa.int32()), "recall": [recall], "graph": pa.array([packed], pa.binary())})
 
-    graphs = materialize(classes.select(dealt("c", shards).alias("s"), "c", "n", "v").groupBy("s").applyInArrow(build, "s int, graph binary"), "graphs")
+    dealt_out = celled(classes.select(dealt("c", shards).alias("s"), F.lit(0).alias("b"), "c", "n", "v"), shards, 1)
+    graphs = materialize(dealt_out.groupBy("cell").applyInArrow(build, "s int, recall double, graph binary"), "graphs")
 
-    def search(graph: pa.Table, queries: pa.Table) -> pa.Table:
-        out = {"a": [np.zeros(0, np.int64)], "b": [np.zeros(0, np.int64)], "links": [np.zeros(0, bool)]}
+    def compare(graph: pa.Table, queries: pa.Table) -> pa.Table:
+        out = {"a": [np.zeros(0, np.int64)], "b": [np.zeros(0, np.int64)], "links": [np.zeros(0, bool)], "recall": [np.zeros(0)]}
         if graph.num_rows and queries.num_rows:
             order = np.argsort(queries["c"].to_numpy(), kind="stable")
-            ids, q = queries["c"].to_numpy()[order], _unit(matrix(queries["v"], dims))[order]
+            ids, q = queries["c"].to_numpy()[order], matrix(queries["v"], dims)[order]
             a = dict(np.load(io.BytesIO(graph["graph"][0].as_buffer())))
-            found = shard_links(Hnsw.from_arrays(a), a["double"], q, least)
-            forest = Forest(len(q) + len(a["c"]))
+            x, c, n = _unit(a["v"]), a["c"], a["n"]
+            graph_of = Shard(Hnsw.from_links(x, a), x, least)
+            forest = Forest(len(q) + len(c))
             total = np.zeros(len(q), np.int64)
-            for i, r in enumerate(found):
-                r = r[a["c"][r] != ids[i]]
-                total[i] = a["n"][r].sum()
-                forest.join_all(i, r + len(q))
-            name = np.concatenate([ids, a["c"]])
+            at = np.minimum(np.searchsorted(c, ids), len(c) - 1)
+            own = np.where(c[at] == ids, at, -1)
+            recall = 1.0
+            for i in range(0, len(q), SHARD):  # one audit each
+                part = slice(i, i + SHARD)
+                found, got, _ = shard_links(graph_of, _unit(q[part]), own[part], int(a["beam"]))
+                recall = min(recall, got)
+                for k, r in enumerate(found, i):
+                    r = r[r != own[k]]
+                    if len(r):
+                        total[k] = n[r].sum()
+                        forest.join_all(k, r + len(q))
+            name = np.concatenate([ids, c])
             left, right = forest.links()
             some = np.flatnonzero(total)
-            for k, v in (("a", [ids[some], name[left]]), ("b", [total[some], name[right]]), ("links", [np.zeros(len(some), bool), np.ones(len(left), bool)])):
-                out[k] += v
-        return pa.table({k: np.concatenate(v) for k, v in out.items()})
+            for k, v in (("a", [ids[some], name[left], [0]]), ("b", [total[some], name[right], [0]]), ("links", [np.zeros(len(some), bool), np.ones(len(left), bool), [False]])):
+                out[k] += [np.asarray(y, out[k][0].dtype) for y in v]
+            out["recall"] += [np.full(len(some) + len(left), np.nan), np.array([recall])]
+        table = pa.table({k: np.concatenate(v) for k, v in out.items()})
+        return table.set_column(3, "recall", pa.compute.if_else(pa.compute.is_nan(table["recall"]), None, table["recall"]))
 
-    left = graphs.withColumn("b", each(blocks))
-    right = classes.select(each(shards).alias("s"), dealt("k1", blocks).alias("b"), "c", "v")
-    cells = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInArrow(search, "a long, b long, links boolean")
+    left = celled(graphs.select("s", each(blocks).alias("b"), "graph"), shards, blocks)
+    right = celled(classes.select(each(shards).alias("s"), dealt("k1", blocks).alias("b"), "c", "v"), shards, blocks)
+    cells = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(compare, "a long, b long, links boolean, recall double")
     cells = materialize(cells, "cells")
+    lowest = min(x for x in (cells.agg(F.min("recall")).first()[0], graphs.agg(F.min("recall")).first()[0], 1.0) if x is not None)
+    _log.info("audits of %d shards and %d blocks: recall at least %.4f", shards, blocks, lowest)
+    cells = cells.where("recall is null")
     united = connected_components(cells.where("links").select("a", "b"))
     linked = cells.where("not links").groupBy(F.col("a").alias("c")).agg(F.sum("b").alias("others"))
     named = classes.select("k1", "k2", "c", "n", "first").join(linked, "c", "left").join(united.withColumnRenamed("node", "c"), "c", "left")
@@ -156,7 +244,8 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, vec_id: str = "ve
     by_key = materialize(named.join(least_id, "component").select("k1", "k2", "n_links", "component_id"), "by_key")
     out = slim.join(by_key.withColumn("good", F.lit(True)), ["k1", "k2", "good"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return out.withColumn("recall", F.lit(lowest)) if with_recall else out
 
 
 def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,19 +5,25 @@ from __future__ import annotations
 import numpy as np
 
 #: Links a new node makes at each level (twice as many may stay at level 0), and the beam while building.
-LINKS, BUILD_BEAM = 12, 48
+LINKS, BUILD_BEAM = 20, 40
 #: Nodes inserted at once at most; links among them come from their own similarities.
 BATCH = 256
 #: Beam entries that are opened in one step.
 OPEN = 4
+#: Cosine to a node from which a vector becomes its member, no node of its own: else a dense group holds every beam that comes near it.
+MERGE = 0.95
 
 
 class Hnsw:
-    """Nodes are rows of ``x`` (float32, unit length). Levels are drawn from a fixed seed, so equal input gives an equal graph."""
+    """Rows of ``x`` (float32, unit length) are nodes, or members of a node. Levels are drawn from a fixed seed, so equal input gives an equal graph.
 
-    def __init__(self, x: np.ndarray, links: int = LINKS, beam: int = BUILD_BEAM, seed: int = 7) -> None:
-        self.x, self.m = np.ascontiguousarray(x, np.float32), links
+    ``lead`` has the node of each row, and ``least`` each node's lowest cosine to a member.
+    """
+
+    def __init__(self, x: np.ndarray, links: int = LINKS, beam: int = BUILD_BEAM, seed: int = 7, merge: float = MERGE) -> None:
+        self.x, self.m, self.merge = np.ascontiguousarray(x, np.float32), links, merge
         n = len(x)
+        self.lead, self.least = np.arange(n), np.ones(n)
         draw = np.random.default_rng(seed).random(n)
         level = np.minimum((-np.log1p(-draw) / np.log(links)).astype(int), 8)
         order = np.argsort(-level, kind="stable")
@@ -33,13 +39,14 @@ class Hnsw:
             self._insert(batch, int(at), beam)
             done += len(batch)
 
-    def arrays(self) -> dict[str, np.ndarray]:
-        return {"x": self.x, "entry": np.array(self.entry), **{f"near{i}": a for i, a in enumerate(self.near)}}
+    def links(self) -> dict[str, np.ndarray]:
+        """What makes the graph together with its rows."""
+        return {"entry": np.array(self.entry), "lead": self.lead, "least": self.least, **{f"near{i}": a for i, a in enumerate(self.near)}}
 
     @classmethod
-    def from_arrays(cls, a: dict) -> Hnsw:
+    def from_links(cls, x: np.ndarray, a: dict) -> Hnsw:
         self = cls.__new__(cls)
-        self.x, self.entry = a["x"], int(a["entry"])
+        self.x, self.entry, self.lead, self.least = np.ascontiguousarray(x, np.float32), int(a["entry"]), a["lead"], a["least"]
         self.near = [a[f"near{i}"] for i in range(sum(k.startswith("near") for k in a))]
         self.top, self.m = len(self.near) - 1, self.near[0].shape[1] // 2
         return self
@@ -108,21 +115,46 @@ class Hnsw:
             out = np.pad(out, ((0, 0), (0, keep - out.shape[1])), constant_values=-1)
         return out.astype(np.int32)
 
+    def _merge(self, batch: np.ndarray, ids: np.ndarray, sims: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Makes rows of a batch members of the node found nearest, or of an earlier row of the batch; returns which stay nodes."""
+        stay = sims < self.merge
+        at = np.flatnonzero(~stay)
+        to, near = ids[at], sims[at]
+        mates = np.triu(own >= self.merge, 1) & stay[:, None] & stay[None, :]
+        if mates.any():
+            lead = np.arange(len(batch))
+            for i in np.flatnonzero(mates.any(1)):
+                if lead[i] == i:
+                    new = mates[i] & (lead == np.arange(len(batch)))
+                    lead[new] = i
+            more = np.flatnonzero(lead != np.arange(len(batch)))
+            stay[more] = False
+            at, to, near = np.concatenate([at, more]), np.concatenate([to, batch[lead[more]]]), np.concatenate([near, own[lead[more], more]])
+        self.lead[batch[at]] = to
+        np.minimum.at(self.least, to, near)
+        return stay
+
     def _insert(self, batch: np.ndarray, level: int, beam: int) -> None:
         q = self.x[batch]
         start = np.full(len(batch), self.entry)
         for at in range(self.top, level, -1):
             start = self._beam(q, start, 1, at)[0][:, 0]
+        found = {}
+        for at in range(level, -1, -1):
+            found[at] = self._beam(q, start, beam, at)
+            start = found[at][0][:, 0]
         own = q @ q.T
+        stay = self._merge(batch, found[0][0][:, 0], found[0][1][:, 0], own)
+        batch, own = batch[stay], own[stay][:, stay]
+        if not len(batch):
+            return
         np.fill_diagonal(own, -2.0)
         most = min(16, len(batch) - 1)
         mates = np.argsort(-own, axis=1)[:, :most]
         mate_sims = np.take_along_axis(own, mates, 1)
-        for at in range(level, -1, -1):
-            ids, sims = self._beam(q, start, beam, at)
-            start = ids[:, 0]
-            ids = np.concatenate([ids, batch[mates].astype(np.int32)], 1)
-            sims = np.concatenate([sims, mate_sims], 1)
+        for at, (ids, sims) in found.items():
+            ids = np.concatenate([ids[stay], batch[mates].astype(np.int32)], 1)
+            sims = np.concatenate([sims[stay], mate_sims], 1)
             order = np.argsort(-sims, axis=1, kind="stable")
             ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
             picked = self._select(ids, sims, self.m)
@@ -157,7 +189,7 @@ class Hnsw:
                 near[t[over]] = self._select(ids[over], sims[over], cap)
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and similarities of the ``beam`` best found of each query, best first."""
+        """Nodes, and their similarities, of the ``beam`` best found of each query, best first; -1 and -2 where there are fewer."""
         start = np.full(len(q), self.entry)
         for at in range(self.top, 0, -1):
             start = self._beam(q, start, 1, at)[0][:, 0]

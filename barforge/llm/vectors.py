@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from .common import col
 
+#: Cells whose keys are chosen so that each has a partition of its own; more of them even out by number.
+CELLS = 4096
+#: Partitions that cells are dealt to at most.
+MOST_PARTS = 65536
+
 
 def finite(v: Column) -> Column:
     """Whether a vector is there and all its components are finite numbers."""
@@ -43,3 +48,41 @@ def dealt(key: str, parts: int) -> Column:
 
 def each(parts: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """The hash by which Spark deals a column of ints (Murmur3, 32 bits, seed 42)."""
+    rotl = lambda v, r: (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+    with np.errstate(over="ignore"):
+        k = rotl(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = (rotl(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def cell_keys(n: int) -> list[int]:
+    """n ints that Spark deals to n partitions, one each."""
+    found = np.full(n, -1, np.int64)
+    at = 0
+    while (found < 0).any():
+        x = np.arange(at, at + 16 * n + 64)
+        part = spark_hash(x) % n
+        new, first = np.unique(part, return_index=True)
+        free = found[new] < 0
+        found[new[free]] = x[first[free]]
+        at += len(x)
+    return found.tolist()
+
+
+def celled(df: DataFrame, shards: int, blocks: int) -> DataFrame:
+    """``df`` with ``cell``, a key for each pair of its columns s and b, dealt to partitions so that few cells never meet in one task.
+
+    Adaptive execution doesn't merge these partitions: a cell is heavy by its work, not its bytes.
+    """
+    n = shards * blocks
+    number = F.col("s") * blocks + F.col("b")
+    if n > CELLS:
+        return df.withColumn("cell", number).repartition(min(n, MOST_PARTS), "cell")
+    keys = df.sparkSession.createDataFrame([(i // blocks, i % blocks, k) for i, k in enumerate(cell_keys(n))], "s int, b int, cell int")
+    return df.join(F.broadcast(keys), ["s", "b"]).repartition(n, "cell")

@@ -7,35 +7,35 @@ import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-from barforge.llm import embedding_neardup, hnsw, topk
+from barforge.llm import embedding_neardup, hnsw, topk, vectors
 from barforge.llm.components import connected_components
 from barforge.llm.queries import ORACLES, QUERIES
 
 
-def plain_links(vectors, least=0.9):
+def plain_links(rows, least=0.9):
     """n_links and component of each row by all pairs."""
-    ok = [i for i, (_, v) in enumerate(vectors) if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
-    dims = max((len(vectors[i][1]) for i in ok), default=1)
-    x = np.array([[*vectors[i][1], *[0.0] * (dims - len(vectors[i][1]))] for i in ok]).reshape(len(ok), dims)
+    ok = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    dims = max((len(rows[i][1]) for i in ok), default=1)
+    x = np.array([[*rows[i][1], *[0.0] * (dims - len(rows[i][1]))] for i in ok]).reshape(len(ok), dims)
     x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(ok) else x
     near = x @ x.T >= least
-    up = list(range(len(vectors)))
+    up = list(range(len(rows)))
 
     def root(a):
         while up[a] != a:
             a = up[a]
         return a
 
-    links = [0] * len(vectors)
+    links = [0] * len(rows)
     for a, b in zip(*np.nonzero(near), strict=True):
         if a != b:
             links[ok[a]] += 1
             p, q = root(ok[a]), root(ok[b])
             up[p] = q
     least_id = {}
-    for i, (k, _) in enumerate(vectors):
+    for i, (k, _) in enumerate(rows):
         least_id[root(i)] = min(least_id.get(root(i), k), k)
-    return sorted((k, links[i], least_id[root(i)]) for i, (k, _) in enumerate(vectors))
+    return sorted((k, links[i], least_id[root(i)]) for i, (k, _) in enumerate(rows))
 
 
 def rows_of(spark, vectors):
@@ -54,12 +54,45 @@ def clustered():
     return [(int(k), [float(x) for x in v[i]]) for k, i in enumerate(order)]
 
 
+def test_keys_deal_each_cell_to_its_own_partition(spark):
+    for n in (1, 7, 24, 211):
+        keys = spark.createDataFrame([(k,) for k in vectors.cell_keys(n)], "cell int").repartition(n, "cell")
+        assert [len(p) for p in keys.rdd.glom().collect()] == [1] * n
+
+
+def test_the_audit_sees_missing_links():
+    """Rare pairs beside a dense group: a graph whose links are cut fails the audit, and what it misses is found all the same."""
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    centre = rng.normal(size=(1, 32))
+    rare = rng.normal(size=(150, 32))
+    x = unit(np.concatenate([centre + 0.05 * rng.normal(size=(1500, 32)), rng.normal(size=(1500, 32)), rare, rare + 0.25 * rng.normal(size=rare.shape)]))
+    probe = embedding_neardup.probes(x, 0.9)
+    assert (np.max(probe @ x.T, axis=1) >= 0.9).all()
+    shard = embedding_neardup.Shard(hnsw.Hnsw(x), x, 0.9)
+    truth = embedding_neardup._scan(x, x, 0.9)
+    pairs = lambda found: sum(len(f) for f in found[3000:])
+    beam, recall = embedding_neardup.audited_beam(shard)
+    assert recall >= embedding_neardup.RECALL and beam <= embedding_neardup.WIDEST
+    found, recall, n = embedding_neardup.shard_links(shard, x, np.arange(len(x)), beam)
+    assert n and recall >= embedding_neardup.RECALL and pairs(found) >= 0.99 * pairs(truth) > 3 * 150
+    assert sum(map(len, found[:1500])) >= 0.999 * sum(map(len, truth[:1500]))
+    broken = hnsw.Hnsw(x, merge=2.0)
+    broken.near = [np.where(rng.random(a.shape) < 0.97, -1, a).astype(np.int32) for a in broken.near]
+    shard = embedding_neardup.Shard(broken, x, 0.9)
+    beam = embedding_neardup.audited_beam(shard)[0]
+    assert beam > embedding_neardup.BEAM
+    found, recall, n = embedding_neardup.shard_links(shard, x, np.arange(len(x)), beam)
+    assert recall == 1.0 and n == len(x) and pairs(found) == pairs(truth)
+
+
 def test_links_equal_brute_force(spark, clustered):
     got = embedding_neardup.near_duplicates(rows_of(spark, clustered)).collect()
     want = plain_links(clustered)
     found, all_ = sum(r["n_links"] for r in got), sum(n for _, n, _ in want)
     assert found >= 0.98 * all_ and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
     assert sorted((r["vec_id"], r["component_id"]) for r in got) == [(k, c) for k, _, c in want]
+    assert embedding_neardup.near_duplicates(rows_of(spark, clustered), with_recall=True).first()["recall"] >= embedding_neardup.RECALL
     by_id = {r["vec_id"]: r["n_links"] for r in got}
     assert all(by_id[k] <= n for k, n, _ in want)
 
@@ -72,7 +105,7 @@ def test_graph_recall():
     ids, _ = g.search(x[:200], 128)
     truth = np.argsort(-(x[:200] @ x.T), axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids.tolist(), truth.tolist(), strict=True)]) > 0.85
-    again = hnsw.Hnsw.from_arrays(hnsw.Hnsw(x).arrays())
+    again = hnsw.Hnsw.from_links(x, hnsw.Hnsw(x).links())
     assert (again.near[0] == g.near[0]).all()
 
 
@@ -86,12 +119,12 @@ def test_links_on_odd_rows(spark):
 
 
 def plain_topk(vectors, k=5):
-    rows = {i: [math.floor(256 * x) for x in v] for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    """Rows are rows; those of one query id ask together and are no candidates of it."""
+    rows = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in sorted(rows):
-        if q % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(rows[q], v, strict=False)), i) for i, v in rows.items() if i != q)[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    for q in sorted({i for i, _ in rows if i % 50 == 0}):
+        scores = sorted((-sum(a * b for a, b in zip(u, v, strict=False)), i) for j, u in rows if j == q for i, v in rows if i != q)[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     return out
 
 
@@ -109,6 +142,27 @@ def test_topk_on_odd_rows(spark):
     assert ask(rows_of(spark, [])) == [] == ask(rows_of(spark, [(1, [1.0])])) == ask(rows_of(spark, [(50, [1.0])]))
 
 
+def test_topk_on_repeated_rows_and_ids(spark, duck):
+    two = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [0.0, 1.0]), (8, [2.0, 0.0]), (9, [-1.0, 0.0])]
+    many = [(100, [float(i), 1.0]) for i in range(40)] + [(i, [0.5 * i, 0.0]) for i in range(1, 4)] + [(150, [3.0, 1.0])] * 3
+    rng = np.random.default_rng(9)
+    mixed = [(int(i), [float(x) for x in v]) for i, v in zip(rng.integers(0, 300, 900), rng.integers(-2, 3, (900, 3)), strict=True)]
+    for rows in (two, many, two + many, mixed):
+        got = ask(rows_of(spark, rows))
+        assert got == plain_topk(rows)
+        duck.sql("CREATE OR REPLACE TEMP TABLE own(vec_id BIGINT, embedding DOUBLE[])")
+        duck.executemany("INSERT INTO own VALUES (?, ?)", rows)
+        assert got == sorted(duck.sql(ORACLES["op10_topk"].replace("FROM embeddings", "FROM own")).fetchall())
+
+
+def test_topk_scores_beyond_doubles_are_exact_or_raise(spark):
+    big = [(50, [2.0**20, 1.0]), (1, [2.0**20, 3.0]), (2, [2.0**20, 5.0]), (3, [0.0, 1.0])]
+    assert ask(rows_of(spark, big)) == plain_topk(big)
+    for x in (2.0**30, 1e200, 1e308):
+        with pytest.raises(Exception, match="OverflowError"):
+            ask(rows_of(spark, [(50, [x, 1.0]), (1, [x, 1.0])]))
+
+
 def test_uniform_threshold_is_safe():
     rng = np.random.default_rng(5)
     for _ in range(30):
@@ -121,6 +175,9 @@ def test_uniform_threshold_is_safe():
         assert (bounds <= best).all()
         enough = topk.sufficient(parts, bounds[:, 3])
         assert (enough | (total < bounds[:, 3:4])).all()
+        out = rng.random((3, 50)) < 0.5
+        best = -np.sort(-np.where(out, topk.NONE, total), axis=1)[:, :4]
+        assert (topk.safe_bounds(parts, 4, out) <= best).all()
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
