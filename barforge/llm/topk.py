@@ -52,22 +52,21 @@ def partial_scores(queries: np.ndarray, items: np.ndarray, lists: int = LISTS) -
 
 
 def safe_bounds(parts: np.ndarray, k: int, out: np.ndarray | None = None) -> np.ndarray:
-    """Phase 1 at one shard: queries x (up to k) scores that as many items are sure to reach; NONE where there are fewer.
+    """Phase 1 at one shard: queries x (up to k) scores that as many items reach; NONE where there are fewer.
 
-    Each list names its k best items. What an item's other lists add is taken from those that name it, and
-    else from the list's lowest entry. Items marked in ``out`` (queries x items) don't count.
+    Each list names its k best items, and the scores of the named items are what their lists add up to.
+    Items marked in ``out`` (queries x items) don't count.
     """
     m, q, n = parts.shape
     k = min(k, n)
     open_ = parts if out is None else np.where(out, NONE, parts)
-    best = np.argpartition(open_, n - k, axis=2)[:, :, n - k :]
-    low = parts.min(2)
-    named = np.zeros((m, q, n), bool)
-    np.put_along_axis(named, best, True, axis=2)
-    sure = np.where(named, parts, low[:, :, None]).sum(0)
+    named = np.argpartition(open_, n - k, axis=2)[:, :, n - k :]
+    named = np.sort(named.transpose(1, 0, 2).reshape(q, m * k), axis=1)
+    score = sum(np.take_along_axis(p, named, 1) for p in parts)
+    score[:, 1:][named[:, 1:] == named[:, :-1]] = NONE  # named by several lists
     if out is not None:
-        sure[out] = NONE
-    return -np.sort(-np.partition(sure, n - k, axis=1)[:, n - k :], axis=1)
+        score[np.take_along_axis(out, named, 1)] = NONE
+    return -np.sort(-score, axis=1)[:, :k]
 
 
 def sufficient(parts: np.ndarray, cutoff: np.ndarray) -> np.ndarray:
@@ -95,8 +94,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
 
     Equal vectors are one class with its k + 1 smallest ids, however many there are (kept by a map-side limit); no
     other member can be in a result. Classes are dealt to shards and queries to blocks of bounded size, each pair
-    of them a cell. Phase 1: in a cell, lists over slices of the components name their best items; a query's k + 1 best sure
-    scores of each shard go on, and the last of its k + 1 best overall is its cutoff. Phase 2 sends the cutoff to
+    of them a cell. Phase 1: in a cell, lists over slices of the components name their best items; a query's k + 1 best scores of
+    these in each shard go on, and the last of its k + 1 best overall is its cutoff. Phase 2 sends the cutoff to
     the cells and takes what any list holds at its share of it. Phase 3 sums the lists of these entries alone, and only a query's
     best k + 1 of a shard leave the cell. An id of several vectors has a query for each, which leaves out the classes of that id alone.
     """
