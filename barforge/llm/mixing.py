@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,10 +17,17 @@ MOST = 2
 SEED = "mix-1"
 
 
+def _same(doc_id: Column, source: Column, text: Column) -> Column:
+    """A hash that rows share if they agree in id, source and text; nulls are values of their own."""
+    part = lambda x: F.coalesce(F.concat(F.lit("s"), x), F.lit("n"))
+    return F.md5(F.concat_ws("|", part(doc_id.cast("string")), part(source.cast("string")), part(F.md5(text.cast("binary")))).cast("binary"))
+
+
 def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source and size (words of the text; null and empty texts have none)."""
+    """doc_id, source, size (words of the text; null and empty texts have none) and same, a hash of id, source and text."""
     words = F.coalesce(F.regexp_count(col(docs, text), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(col(docs, doc_id).alias("doc_id"), col(docs, source).alias("source"), words.alias("size"))
+    same = _same(col(docs, doc_id), col(docs, source), col(docs, text))
+    return docs.select(col(docs, doc_id).alias("doc_id"), col(docs, source).alias("source"), words.alias("size"), same.alias("same"))
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -54,62 +61,65 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     return by.select("source", "source_size", target.alias("target"))
 
 
-def _copies(rate, doc_id, seed: str):
-    """floor(rate), and one more where a hash of the seed and the id, in [0, 1), is below the fraction."""
-    id_text = F.coalesce(doc_id.cast("string"), F.lit(""))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), id_text).cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def _copies(rate: Column, drawn_by: Column, seed: str) -> Column:
+    """floor(rate), and one more where a hash of the seed and what a row draws by, in [0, 1), is below the fraction."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), drawn_by).cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def _rate():
+def _rate() -> Column:
     return F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
 
 
+def _drawn_by(rows: DataFrame, doc_id: str, same: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``, what a row draws by: its id where no other row has it, else ``same`` and its number among the rows that agree in that.
+
+    Only rows of shared ids are moved. Their numbers are places in each part of the table, after those of the parts before; rows that
+    agree in ``same`` are interchangeable, so reruns give the same rows.
+    """
+    n_id, n_times, n_same, n_part, n_place, n_before = fresh(rows, "id", "times", "same_row", "part", "place", "before")
+    id_text = F.coalesce(col(rows, doc_id).cast("string"), F.lit(""))
+    times = rows.groupBy(col(rows, doc_id).alias(n_id)).agg(F.count("*").alias(n_times)).where(F.col(n_times) > 1)
+    shared = materialize(times.select(n_id), "shared_ids")
+    if shared.isEmpty():
+        return rows.withColumn(name, id_text)
+    same_id = col(rows, doc_id).eqNullSafe(shared[n_id])
+    many = materialize(rows.withColumn(n_same, same).join(shared, same_id, "left_semi").withColumn(n_part, F.spark_partition_id()), "shared")  # the parts stay as they were
+    counts = many.groupBy(n_same, n_part).agg(F.count("*").alias(n_times))
+    before = F.coalesce(F.sum(n_times).over(Window.partitionBy(n_same).orderBy(n_part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(n_same, n_part).orderBy(F.lit(0))) - 1
+    numbered = many.withColumn(n_place, place).join(counts.select(n_same, n_part, before.alias(n_before)), [n_same, n_part])
+    numbered = numbered.withColumn(name, F.concat_ws(":", n_same, (F.col(n_place) + F.col(n_before)).cast("string"))).drop(n_same, n_part, n_place, n_before)
+    return rows.join(shared, same_id, "left_anti").withColumn(name, id_text).unionByName(numbered)
+
+
 def copies(sized: DataFrame, by_source: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target and ``copies``: floor(rate), and one more with probability rate - floor(rate).
 
-    The draw is a hash of the seed and the id, so reruns agree and copies of a row (same id) draw alike. Only
-    the table of sources is joined; Spark broadcasts it while it's small and else splits hot sources.
+    The draw is a hash of the seed and the id, so reruns agree. Rows that share an id, or have none, draw by it, source, text and, where
+    these agree too, their number: a source comes near its target whatever its ids. Only the table of sources is joined; Spark
+    broadcasts it while it's small and else splits hot sources.
     """
     b = by_source.withColumnRenamed("source", "b_source")
-    joined = sized.join(b, sized["source"].eqNullSafe(b["b_source"])).drop("b_source")
-    return joined.withColumn("copies", _copies(_rate(), F.col("doc_id"), seed))
+    rows = _drawn_by(sized, "doc_id", F.col("same"), "drawn_by")
+    joined = rows.join(b, rows["source"].eqNullSafe(b["b_source"])).drop("b_source")
+    return joined.withColumn("copies", _copies(_rate(), F.col("drawn_by"), seed)).drop("drawn_by", "same")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it, with its columns only.
 
-    A unique id draws alone. Rows that share an id, or have none, draw by it, source, text and, where these agree too, a number
-    from 0 to the rows that do: so each source comes near its target whatever its ids. Null sources are one source; a document
-    without words, in a source whose rate is below 1, stays or goes by the same draw. An empty table gives an empty one. Columns
-    of other names pass through.
+    Rows draw as in ``copies``. Null sources are one source; a document without words, in a source whose rate is below 1, stays
+    or goes by the same draw. An empty table gives an empty one. Columns of other names pass through.
     """
-    name_n, name_key, name_take, name_id, name_same, name_part, name_before = fresh(docs, "size", "key", "copies", "id", "same", "part", "before")
+    name_n, name_key, name_take, name_by = fresh(docs, "size", "key", "copies", "drawn_by")
     by = materialize(targets(materialize(sizes(docs, doc_id, text, source), "sizes")), "targets")
+    rows = _drawn_by(docs, doc_id, _same(col(docs, doc_id), col(docs, source), col(docs, text)), name_by)
     b = by.select(F.col("source").alias(name_key), _rate().alias(name_n))
-    joined = docs.join(b, col(docs, source).eqNullSafe(b[name_key])).drop(name_key)
+    joined = rows.join(b, col(rows, source).eqNullSafe(b[name_key])).drop(name_key)
+    taken = joined.withColumn(name_take, _copies(F.col(name_n), F.col(name_by), seed)).where(F.col(name_take) > 0)
     columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
-
-    def repeat(rows, drawn_by):
-        taken = rows.withColumn(name_take, _copies(F.col(name_n), drawn_by, seed)).where(F.col(name_take) > 0)
-        return taken.withColumn(name_take, F.explode(F.sequence(F.lit(1), F.col(name_take)))).select(*columns)
-
-    times = docs.groupBy(col(docs, doc_id).alias(name_id)).agg(F.count("*").alias(name_same)).where(F.col(name_same) > 1)
-    shared = materialize(times.select(name_id), "shared_ids")
-    if shared.isEmpty():
-        return repeat(joined, col(joined, doc_id))
-    same_id = col(joined, doc_id).eqNullSafe(shared[name_id])
-    text_of = lambda x: F.coalesce(x.cast("string"), F.lit(""))
-    parts = [text_of(col(joined, c)) for c in (doc_id, source, text)]
-    marked = joined.join(shared, same_id, "left_semi").withColumns({name_same: F.md5(F.concat_ws("\0", *parts).cast("binary")), name_part: F.spark_partition_id()})
-    many = materialize(marked, "shared")  # the parts stay as they were
-    # Numbers within rows of one hash: places in each part, after those of the parts before.
-    counts = many.groupBy(name_same, name_part).count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy(name_same).orderBy(name_part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy(name_same, name_part).orderBy(F.lit(0))) - 1
-    numbered = many.withColumn(name_key, place).join(counts.select(name_same, name_part, before.alias(name_before)), [name_same, name_part])
-    drawn_by = F.concat_ws(":", F.col(name_same), (F.col(name_key) + F.col(name_before)).cast("string"))
-    return repeat(joined.join(shared, same_id, "left_anti"), col(joined, doc_id)).unionByName(repeat(numbered, drawn_by))
+    return taken.withColumn(name_take, F.explode(F.sequence(F.lit(1), F.col(name_take)))).select(*columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +130,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         count(*) OVER (PARTITION BY doc_id) AS times,
+         md5(concat_ws('|', coalesce('s' || CAST(doc_id AS VARCHAR), 'n'), coalesce('s' || source, 'n'), coalesce('s' || md5(text), 'n'))) AS same
+  FROM documents
+), k AS (  -- rows of one id, or of none, are told apart
+  SELECT *, CASE WHEN times = 1 THEN coalesce(CAST(doc_id AS VARCHAR), '')
+                 ELSE same || ':' || CAST(row_number() OVER (PARTITION BY same) - 1 AS VARCHAR) END AS drawn_by FROM d
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -139,8 +155,8 @@ WITH d AS (
 ), f AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS draw
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+         CAST(('0x' || substr(md5('mix-1:' || drawn_by), 1, 13)) AS BIGINT) / 4503599627370496.0 AS draw
+  FROM k AS d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
        CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM f
