@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,12 @@ from .common import col, materialize
 
 #: Largest shard, in UTF-8 bytes of text.
 LIMIT_BYTES = 1 << 20
-#: Levels of the directory that one pass settles.
-STEP = 10
-#: Bits of one hash word.
+#: Bits of one hash word; there are two.
 WORD_BITS = 60
+#: Levels that a pass looks at beyond those that buckets of even size would need.
+MORE = 2
+#: Cells, of 16 bytes each, that are broadcast at most; more of them are joined.
+BROADCAST_CELLS = 100_000
 
 
 def _word(text: Column) -> Column:
@@ -20,6 +24,26 @@ def _word(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _prefix(bits: int) -> list[Column]:
+    """p and q: the first ``bits`` of the words h1 and h2."""
+    p = F.shiftright("h1", WORD_BITS - min(bits, WORD_BITS))
+    q = F.shiftright("h2", 2 * WORD_BITS - bits) if bits > WORD_BITS else F.lit(0).cast("long")
+    return [p.alias("p"), q.alias("q")]
+
+
+def _above(bits: int) -> list[Column]:
+    """p and q of the bucket of ``depth`` bits that a cell of ``bits`` bits is in."""
+    cut = f"if(depth < {WORD_BITS}, shiftright(p, {min(bits, WORD_BITS)} - depth), p)" if bits > WORD_BITS else f"shiftright(p, {bits} - depth)"
+    low = f"if(depth <= {WORD_BITS}, 0L, shiftright(q, {bits} - depth))" if bits > WORD_BITS else "0L"
+    return [F.expr(cut).alias("dp"), F.expr(low).alias("dq")]
+
+
+def _name() -> Column:
+    """A bucket's prefix as a text of ``depth`` bits."""
+    bits = lambda c, n: F.expr(f"lpad(conv(cast({c} as string), 10, 2), {n}, '0')")
+    return F.when(F.col("depth") <= WORD_BITS, bits("dp", "depth")).otherwise(F.concat(bits("dp", str(WORD_BITS)), bits("dq", f"depth - {WORD_BITS}")))
+
+
 def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, depth, shard (the bucket's hash prefix as ``depth`` bits), shard_bytes, shard_docs, oversize.
 
@@ -29,11 +53,10 @@ def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, doc_id: str = "doc_i
     apart by their first 60 bits; a bucket of such rows splits on 60 more bits of a hash of the row's position.
     A null id hashes as an empty id, a null text has 0 bytes, an empty table gives no rows; other columns aren't read.
 
-    One pass settles ``STEP`` levels: bytes are summed by the longest prefix of the pass with a map-side
-    combine, shorter prefixes from those sums, and each bucket takes its first level that fits. Only documents of
-    buckets that are still too large enter the next pass, so passes number log2(bytes / limit) / STEP.
-    The directory holds one row for each shard. It's joined by prefix, and no key is hot there: a prefix that
-    holds many bytes is, by then, no prefix of the directory.
+    A pass sums bytes once by cell, the longest prefix it looks at (a few bits more than buckets of even size need), with a map-side
+    combine; shorter prefixes are summed from the cells, and the directory gives each cell its first level that
+    fits. Rows meet the directory once, by cell. Cells that hold too much even so, by a repeated id or by chance, are no key of
+    that join: their rows are set apart first, by a broadcast of these cells while they are few, and are all that the next pass reads.
     """
     id_text = F.coalesce(col(docs, doc_id).cast("string"), F.lit(""))
     # The position has part of its bits from the partition: deterministic for the same files and splits.
@@ -41,39 +64,43 @@ def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, doc_id: str = "doc_i
         col(docs, doc_id).alias("doc_id"), F.coalesce(F.octet_length(col(docs, text)), F.lit(0)).cast("long").alias("n_bytes"),
         _word(id_text).alias("h1"), _word(F.concat(F.lit("row:"), F.monotonically_increasing_id().cast("string"))).alias("h2"),
     )
-    keys = materialize(keys.select("doc_id", "n_bytes", _bits("h1", "h2").alias("bits")), "keys")
-    rest, placed, base = keys, None, 0
+    rest = materialize(keys, "keys")
+    placed, base, most = None, 0, rest.agg(F.sum("n_bytes")).first()[0] or 0
     while True:
-        top = base + STEP
-        cells = rest.groupBy(F.substring("bits", 1, top).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"))
+        need = max(1, ceil(log2(max(2, most / max(1, limit_bytes))))) + MORE
+        top = min(base + need, WORD_BITS if base < WORD_BITS else 2 * WORD_BITS)
+        at_cell = rest.select("doc_id", "n_bytes", "h1", "h2", *_prefix(top))
+        cells = at_cell.groupBy("p", "q").agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"), (F.min("h1") == F.max("h1")).alias("same"))
         cells = materialize(cells, "cells")
-        # Level `base` was too large in the pass before; the first pass also tries the whole.
-        levels = F.sequence(F.lit(base + 1 if base else 0), F.lit(top))
-        spread = cells.select("cell", F.explode(levels).alias("depth"), "b", "n").withColumn("shard", F.expr("substring(cell, 1, depth)"))
-        sums = spread.groupBy("depth", "shard").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
         fits = (F.col("shard_bytes") <= limit_bytes) | (F.col("shard_docs") == 1)
-        good = spread.select("cell", "depth", "shard").join(sums.where(fits).hint("merge"), ["depth", "shard"])
-        first = F.min(F.struct("depth", "shard", "shard_bytes", "shard_docs")).alias("at")
-        directory = materialize(good.groupBy("cell").agg(first).select("cell", "at.*"), "directory")
-        at = rest.withColumn("cell", F.substring("bits", 1, top)).join(directory.hint("merge"), "cell", "left")
-        done = at.where("depth is not null").drop("cell", "bits")
+        # Level `base` was too large in the pass before; the first pass also tries the whole.
+        levels = F.explode(F.sequence(F.lit(base + 1 if base else 0), F.lit(top))).alias("depth")
+        sums = cells.select("p", "q", "b", "n", levels).select("depth", *_above(top), "b", "n").groupBy("depth", "dp", "dq")
+        sums = materialize(sums.agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs")).where(fits), "buckets")
+        some = [r[0] for r in sums.select("depth").distinct().collect()]  # at most a pass's levels
+        spread = cells.select("p", "q", F.explode(F.lit(some).cast("array<int>")).alias("depth")).select("p", "q", "depth", *_above(top))
+        first = F.min(F.struct("depth", "dp", "dq", "shard_bytes", "shard_docs")).alias("at")
+        directory = spread.join(sums.hint("merge"), ["depth", "dp", "dq"]).groupBy("p", "q").agg(first).select("p", "q", "at.*")
+        directory = materialize(directory, "directory")
+        left = materialize(cells.join(directory.hint("merge"), ["p", "q"], "left_anti"), "left")
+        n_left, most, same = left.agg(F.count("*"), F.max("b"), F.every("same")).first()
+        done = at_cell
+        if n_left:
+            apart = F.broadcast(left.select("p", "q")) if n_left <= BROADCAST_CELLS else left.select("p", "q").hint("merge")
+            done = at_cell.join(apart, ["p", "q"], "left_anti")
+            rest = materialize(at_cell.join(apart, ["p", "q"], "left_semi").select("doc_id", "n_bytes", "h1", "h2"), "rest")
+        done = done.join(directory.hint("merge"), ["p", "q"]).select("doc_id", "n_bytes", "depth", "dp", "dq", "shard_bytes", "shard_docs")
         placed = done if placed is None else placed.unionByName(done)
-        base = top
-        left = cells.join(directory, "cell", "left_anti").limit(1).count()
-        if not left:
+        if not n_left:
             break
-        if base >= 2 * WORD_BITS:
-            ends = at.where("depth is null").groupBy("cell").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
-            last = at.where("depth is null").drop("depth", "shard", "shard_bytes", "shard_docs").join(ends, "cell")
-            placed = placed.unionByName(last.select("doc_id", "n_bytes", F.lit(base).alias("depth"), F.col("cell").alias("shard"), "shard_bytes", "shard_docs"))
+        if top == 2 * WORD_BITS:
+            # All 120 bits agree: nothing splits these.
+            ends = left.select(F.col("p").alias("dp"), F.col("q").alias("dq"), F.col("b").alias("shard_bytes"), F.col("n").alias("shard_docs"))
+            last = rest.select("doc_id", "n_bytes", F.lit(top).alias("depth"), F.col("h1").alias("dp"), F.col("h2").alias("dq"))
+            placed = placed.unionByName(last.join(ends, ["dp", "dq"]).select(placed.columns))
             break
-        rest = materialize(at.where("depth is null").select("doc_id", "n_bytes", "bits"), "rest")
-    return placed.withColumn("oversize", F.col("shard_bytes") > limit_bytes)
-
-
-def _bits(*words: str) -> Column:
-    """Hash words as one string of their bits."""
-    return F.concat(*[F.lpad(F.conv(F.col(w).cast("string"), 10, 2), WORD_BITS, "0") for w in words])
+        base = WORD_BITS if same and top < WORD_BITS else top  # cells of one id each: no level up to there splits them
+    return placed.select("doc_id", "n_bytes", "depth", _name().alias("shard"), "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit_bytes).alias("oversize"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
