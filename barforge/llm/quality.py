@@ -15,8 +15,9 @@ from .common import col, crc_mod, materialize, text_chunks
 
 #: Buckets of the hashed n-grams, as a power of two.
 BITS = 18
-#: Labelled rows to train on at most, the first in the order of a hash of the id: the documented bound of the sample.
-TRAIN_ROWS = 12_000
+#: Labelled documents to train on at most, the first in the order of a hash of the id, and different n-grams that all of them hold
+#: together: the documented bounds of the sample.
+TRAIN_ROWS, TRAIN_GRAMS = 12_000, 16_000_000
 #: Passes over the sample, and the parameters of the updates.
 PASSES, ALPHA, BETA, L1, L2 = 3, 0.15, 1.0, 0.02, 0.02
 #: Distinct words whose hashes a worker remembers; beyond that it starts afresh.
@@ -84,12 +85,16 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "quality", bits: int = BITS, rows: int = TRAIN_ROWS) -> np.ndarray:
+def train(
+    docs: DataFrame, labels: DataFrame, usable: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "quality", bits: int = BITS, rows: int = TRAIN_ROWS, grams: int = TRAIN_GRAMS,
+) -> np.ndarray:
     """Weights, the bias last, from at most ``rows`` labelled documents: the first in the order of a hash of the id.
 
     Rows of ``labels`` without an id, or with a label other than 0 or 1, don't count; repeated labels of an id count
-    once and the larger wins. With no labelled rows all weights are 0. Only ids are joined to choose the sample, whose ids and labels alone are broadcast; executors
-    hash its texts to buckets, and the driver reads those documents one partition at a time, holding two numbers a bucket.
+    once and the larger wins. Of documents that share an id one text counts, the one of the smallest hash; a null text counts as empty.
+    The sample ends before the document that takes it past ``grams`` different n-grams, the first always counts. With no labelled rows all
+    weights are 0. Only ids are joined to choose the sample, whose ids and labels alone are broadcast; executors hash its texts to
+    buckets, and one task makes the updates, which follow each other by nature, over this bounded sample. Two numbers a bucket reach the driver.
     """
     good = labels.where(col(labels, label).isin(0, 1) & col(labels, doc_id).isNotNull())
     if usable is not None:
@@ -98,27 +103,46 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, doc_
     there = docs.select(col(docs, doc_id).alias("doc_id")).distinct()
     known = good.join(there, "doc_id", "left_semi").withColumn("draw", F.xxhash64("doc_id", F.lit("quality")))
     chosen = materialize(known.orderBy("draw", "doc_id").limit(rows), "chosen")
-    slim = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text"))
-    sample = slim.join(F.broadcast(chosen), "doc_id").select("draw", "y", "text")
+    slim = docs.select(col(docs, doc_id).alias("doc_id"), F.coalesce(col(docs, text), F.lit("")).alias("text"))
+    sample = slim.join(F.broadcast(chosen), "doc_id").groupBy("draw", "doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
+    sample = sample.select("draw", F.col("y").cast("int").alias("y"), F.col("t.text").alias("text"))
 
     def run(batches):
         for part, texts in text_chunks(batches, limit=1 << 20):
             at, n, scale = features(texts, bits)
             ends = np.cumsum(n)
-            idx, val = [], []
+            size, idx, val = [], [], []
             for a, b, s in zip(ends - n, ends, scale, strict=True):
                 k, c = np.unique(at[a:b], return_counts=True)
+                size.append(len(k))
                 idx.append(np.append(k, 1 << bits).astype(np.int32).tobytes())
                 val.append(np.append(c * s, 1.0).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["draw", "y", "idx", "val"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["draw", "y", "size", "idx", "val"])
+
+    hashed = materialize(sample.mapInArrow(run, "draw long, y int, size long, idx binary, val binary"), "hashed")
+
+    def fit(batches):
+        known, total = [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                total += r["size"]
+                if known and total > grams:
+                    break
+                known.append((np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32).astype(float), r["y"]))
+        yield pa.RecordBatch.from_arrays([pa.array([learn(known, bits).tobytes()], pa.binary())], ["weights"])
+
+    # Equal draws are told apart by what they hold: reruns see one order.
+    ordered = hashed.repartition(1).sortWithinPartitions("draw", "idx", "y")
+    found = ordered.mapInArrow(fit, "weights binary").first()
+    return np.frombuffer(found["weights"], float) if found else np.zeros((1 << bits) + 1)
+
 
-    hashed = sample.mapInArrow(run, "draw long, y int, idx binary, val binary")
-    hashed = materialize(hashed, "hashed")
+def learn(known: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS) -> np.ndarray:
+    """Weights after PASSES over documents in their order: buckets, values and label of each."""
     model = Ftrl(bits)
     for _ in range(PASSES):
-        # Equal draws are copies of one row, or ordered by what they hold: reruns see one order.
-        for r in hashed.orderBy("draw", "idx").toLocalIterator():
-            model.update(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32).astype(float), r["y"])
+        for at, x, y in known:
+            model.update(at, x, y)
     return model.weights()
 
 
