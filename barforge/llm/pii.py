@@ -16,8 +16,8 @@ from .common import col, map_rows, text_chunks
 
 #: In the order in which results list them. The first four are the base kinds; the others are added by the method.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn")
-#: A span counts where its score reaches this. Base kinds start at 1 and no context lowers them.
+KINDS = (*BASE, "iban", "ssn", "secret")
+#: A span counts where its score reaches this. No context takes a base kind below it.
 LEAST = 0.7
 #: Characters on either side of a span in which context words count.
 NEAR = 48
@@ -37,11 +37,17 @@ _LENGTHS = {
 }
 IBAN_LENGTH = {country: n for n, all_ in _LENGTHS.items() for country in all_.split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: Keys and tokens in hexadecimal, of the lengths that generators give.
+_SECRET = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])")
 _DIGIT = re.compile(r"[0-9]")
 #: Words that raise the score of a kind, and words that lower it.
-RAISE = {"iban": ("iban", "account", "bank", "konto", "compte", "cuenta"), "ssn": ("ssn", "social", "security", "taxpayer")}
-LOWER = ("order", "invoice", "part", "isbn", "version", "serial", "sku")
-START = {"email": 1.0, "ip": 1.0, "card": 1.0, "phone": 1.0, "iban": 0.9, "ssn": 0.5}
+RAISE = {
+    "email": ("email", "mail", "contact", "write", "address"), "ip": ("ip", "host", "server", "address", "login"), "card": ("card", "visa", "mastercard", "credit", "payment"),
+    "phone": ("phone", "call", "tel", "mobile", "fax"), "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"), "ssn": ("ssn", "social", "security", "taxpayer"),
+    "secret": ("token", "secret", "key", "apikey", "password", "credential", "bearer"),
+}
+LOWER = ("order", "invoice", "part", "isbn", "version", "serial", "sku", "commit", "checksum", "sha", "md5", "hash")
+START = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.9, "ssn": 0.5, "secret": 0.5}
 
 
 class Span(NamedTuple):
@@ -131,15 +137,21 @@ def _ssns(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
-_FIND = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans, "ssn": _ssns}
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    for m in _SECRET.finditer(text):
+        found = set(m.group())
+        # Drawn at random, both digits and letters come, and many of the sixteen.
+        if len(found) >= 8 and _DIGIT.search(m.group()) and not m.group().isdigit():
+            yield m.span()
+
+
+_FIND = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans, "ssn": _ssns, "secret": _secrets}
 
 
 def _score(text: str, kind: str, start: int, end: int) -> float:
-    score = START[kind]
-    if kind in BASE:
-        return score
     near = set(re.findall(r"[a-z]+", text[max(0, start - NEAR) : start].lower() + " " + text[end : end + NEAR].lower()))
-    return min(1.0, max(0.0, score + 0.3 * bool(near & {*RAISE[kind]}) - 0.3 * bool(near & {*LOWER})))
+    score = START[kind] + 0.3 * bool(near & {*RAISE[kind]}) - 0.3 * bool(near & {*LOWER})
+    return min(1.0, max(LEAST if kind in BASE else 0.0, score))
 
 
 def find(text: str | None) -> list[Span]:
@@ -215,4 +227,4 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = annotate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     texts = lambda kinds: F.concat_ws(",", F.transform(F.filter("spans", lambda s: s["kind"].isin(*kinds)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, BASE), F.sha2(texts(BASE).cast("binary"), 256).alias("base_sha256"), texts(KINDS).alias("spans"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(texts(BASE).cast("binary"), 256).alias("base_sha256"), texts(KINDS).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
