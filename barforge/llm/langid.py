@@ -19,6 +19,8 @@ ORDER = 4
 #: This is the documented bound on the sample of labelled rows that the models are fitted on. A text gives one part in CALIBRATE of it at most.
 TRAIN_CHARS = 1_500_000
 CALIBRATE = 4
+#: Languages that are learned at most, those of the most characters: each is a column of the model.
+MOST_LANGS = 256
 #: Bins of the hash that orders texts, for each halving of it.
 BINS = 64
 #: A text is rejected where its cross-entropy is more than this many deviations above its language's usual one.
@@ -199,14 +201,15 @@ def fit(samples: dict[str, list[str]], held: dict[str, list[str]]) -> Model:
     return model
 
 
-def train(docs: DataFrame, usable: Column | None = None, text: str = "text", lang: str = "lang", chars: int = TRAIN_CHARS) -> Model | None:
+def train(docs: DataFrame, usable: Column | None = None, text: str = "text", lang: str = "lang", chars: int = TRAIN_CHARS, most_langs: int = MOST_LANGS) -> Model | None:
     """Fits on a bounded sample: for each non-null language, distinct texts in the order of a hash of the text until ``chars`` are reached.
 
     None if no row has a language and a text. Only ``usable`` rows count. A text counts once, however many copies it has, with
     its first ``chars // CALIBRATE`` characters. Characters of texts, told apart by 64 bits of hash, are summed by language and bin
     of the hash, bins being BINS to each halving of it: map-side combines to at most 30 * BINS + 1 rows a language, however
     many texts there are. The lowest bins that reach the bound, give or take one bin, are the sample. A language of CALIBRATE texts
-    or more always has some held out.
+    or more always has some held out. Of more than MOST_LANGS languages those of the most characters are learned. So the driver holds
+    at most MOST_LANGS times ``chars``, and a bin, of text.
     """
     rows = docs.where(col(docs, lang).isNotNull() & (F.length(col(docs, text)) > 0))
     if usable is not None:
@@ -218,23 +221,22 @@ def train(docs: DataFrame, usable: Column | None = None, text: str = "text", lan
     once = rows.groupBy(col(docs, lang).alias("lang"), mark.alias("mark")).agg(F.max(F.least(F.length(col(docs, text)), F.lit(most)).cast("long")).alias("n"))
     bins = once.groupBy("lang", bin_of(F.col("mark")).alias("depth")).agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = bins.withColumn("before", before).where(F.col("before") < chars).groupBy("lang").agg(F.min("depth").alias("last"))
-    ends = {r["lang"]: r["last"] for r in last.collect()}  # one row a language
-    if not ends:
-        return None
-    chosen = F.lit(False)
-    for k, end in ends.items():
-        chosen = chosen | ((col(docs, lang) == k) & (bin_of(mark) >= end))
-    sample = rows.where(chosen).select(col(docs, lang).alias("lang"), F.substring(col(docs, text), 1, most).alias("text"), order(mark).alias("draw")).distinct()
+    ends = bins.withColumn("before", before).groupBy("lang").agg(F.min(F.when(F.col("before") < chars, F.col("depth"))).alias("last"), F.sum("n").alias("all"))
+    ends = ends.orderBy(F.desc("all"), "lang").limit(most_langs).select(F.col("lang").alias("known_lang"), "last")
+    sample = rows.select(col(docs, lang).alias("lang"), F.substring(col(docs, text), 1, most).alias("text"), order(mark).alias("draw"), bin_of(mark).alias("depth"))
+    sample = sample.join(F.broadcast(ends), F.col("lang") == F.col("known_lang")).where(F.col("depth") >= F.col("last")).select("lang", "text", "draw").distinct()
     used: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["draw"], r["text"])):
         (held if r["draw"] % CALIBRATE == 0 else used).setdefault(r["lang"], []).append(r["text"])
+    langs = sorted({*used, *held})
+    if not langs:
+        return None
     for k, texts in used.items():
         if k not in held and len(texts) >= CALIBRATE:
             held[k] = texts[1::CALIBRATE]
             used[k] = [t for i, t in enumerate(texts) if i % CALIBRATE != 1]
-    return fit({k: used.get(k) or held[k] for k in ends}, held)
+    return fit({k: used.get(k) or held[k] for k in langs}, held)
 
 
 def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
