@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 
 
 class Ewm(NamedTuple):
-    """One output column: ``kind`` is "mean" or "std" of column ``of``; the decay is given by ``span`` or ``alpha``."""
+    """One output column: ``kind`` is "mean" or "std" of column ``of``; the decay is given by ``span`` or ``alpha``. "minus": the difference of two columns."""
 
     name: str
-    of: str
+    of: str | tuple[str, str]
     kind: str = "mean"
     span: float | None = None
     alpha: float | None = None
@@ -33,6 +33,9 @@ def with_ewm(df: DataFrame, *specs: Ewm) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("date", kind="stable")
         for s in specs:
+            if s.kind == "minus":
+                rows[s.name] = rows[s.of[0]] - rows[s.of[1]]
+                continue
             e = rows[s.of].astype(float).ewm(span=s.span, alpha=s.alpha, adjust=s.adjust, min_periods=s.least)
             rows[s.name] = e.mean() if s.kind == "mean" else e.std()
         return rows

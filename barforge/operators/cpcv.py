@@ -60,6 +60,20 @@ def splits_by_dates(events: DataFrame, n: int = 6, k: int = 2, embargo: int = 5)
     return _split(b, _tests(b, n, k, 0), lambda t: _overlaps(t) | ((F.col("date") > t["last"]) & (F.col("date") <= t["emb"])))
 
 
+def splits_by_config(events: DataFrame, configs: dict[str, tuple[int, int, int]], default: tuple[int, int, int] = (6, 2, 5)) -> DataFrame:
+    """Variant B with each instrument's own number of blocks, of test blocks and of embargo dates; others have the default."""
+    groups: dict[tuple[int, int, int], list[str]] = {}
+    for instrument, c in configs.items():
+        groups.setdefault(c, []).append(instrument)
+    parts = [(c, events.where(F.col("instrument").isin(names))) for c, names in groups.items()]
+    parts.append((default, events.where(~F.col("instrument").isin(list(configs)))))
+    out = None
+    for (n, k, embargo), rows in parts:
+        split = splits_by_dates(rows, n, k, embargo)
+        out = split if out is None else out.unionByName(split)
+    return out
+
+
 def splits_before(events: DataFrame, n: int = 4, k: int = 2, embargo_share: float = 0.01) -> DataFrame:
     """Variant C: training rows end before the first test date; the embargo is a share of all calendar days after each block.
 

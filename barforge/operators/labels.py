@@ -62,7 +62,7 @@ def label_events(priced: DataFrame, vol: str = "vol", num_days: int = 10, take_p
     df = priced.withColumn("_path", path).where(s.isin(-1, 1) & F.col(vol).isNotNull() & (F.size("_path") == num_days))
     df = df.withColumns({
         "tp": F.col("close") * (1 + s * tp * F.col(vol)), "sl": F.col("close") * (1 - s * sl * F.col(vol)),
-        "timeout_date": F.element_at("_path", -1)["date"], "timeout_close": F.element_at("_path", -1)["close"],
+        "timeout_date": F.try_element_at("_path", F.lit(-1))["date"], "timeout_close": F.try_element_at("_path", F.lit(-1))["close"],
     })
     df = df.withColumns({"_upper": F.greatest("tp", "sl"), "_lower": F.least("tp", "sl")})
     df = df.withColumn("_touch", _first_touch(F.col("_path"), F.col("_upper"), F.col("_lower")))
@@ -122,7 +122,7 @@ def label_sweep(bars: DataFrame, signals: DataFrame, configs=SWEEP, training_end
     df = df.where(F.col("vol").isNotNull() & (F.size("_path") >= F.col("num_days"))).withColumn("_path", F.slice("_path", 1, F.col("num_days")))
     up, down = F.col("close") * (1 + F.greatest(s * F.col("take_profit_mult"), -s * F.col("stop_loss_mult")) * F.col("vol")), F.col("close") * (1 + F.least(s * F.col("take_profit_mult"), -s * F.col("stop_loss_mult")) * F.col("vol"))
     df = df.withColumns({"_up": up, "_down": down}).withColumn("_touch", F.try_element_at(F.filter("_path", lambda p: (p["close"] >= F.col("_up")) | (p["close"] <= F.col("_down"))), F.lit(1)))
-    end = F.coalesce(F.col("_touch"), F.element_at("_path", -1))
+    end = F.coalesce(F.col("_touch"), F.try_element_at("_path", F.lit(-1)))
     label = F.when(F.col("_touch").isNull(), 0).when(F.col("_touch.close") >= F.col("_up"), 1).otherwise(-1)
     df = df.withColumns({"touch_date": end["date"], "touch_price": end["close"], "triple_barrier_label": label})
     signed = (F.col("touch_price") / F.col("close") - 1) * s
@@ -149,7 +149,7 @@ def label_high_low(bars: DataFrame, horizon: int = 10, up: float = 2.0, down: fl
     df = df.withColumn("_t", _first_touch(F.col("_path"), F.col("upper"), F.col("lower")))
     full = (F.size("_path") == horizon) & F.col("vol").isNotNull()
     label = F.when(~full | F.col("_t").isNull(), 0).when(F.col("_t.high") >= F.col("upper"), 1).otherwise(-1)
-    return df.select("date", "instrument", "close", "vol", "upper", "lower", label.alias("label"), F.when(full, F.coalesce(F.col("_t.date"), F.element_at("_path", -1)["date"])).alias("t1"))
+    return df.select("date", "instrument", "close", "vol", "upper", "lower", label.alias("label"), F.when(full, F.coalesce(F.col("_t.date"), F.try_element_at("_path", F.lit(-1))["date"])).alias("t1"))
 
 
 def barrier_balance(labels: DataFrame, by: list[str], positive: str = "metalabel") -> DataFrame:

@@ -9,39 +9,59 @@ from pyspark.sql.window import Window
 from .cpcv import sharpe
 
 
-def binary_metrics(df: DataFrame, by: list[str], y: str = "y_true", p: str = "prediction", threshold: float = 0.5) -> DataFrame:
-    """Counts, accuracy, precision, recall, F1, Brier score, log loss, AUC (average ranks) and average precision of each group.
+#: Bins of the scores from 0 to 1: what lies below a score is what lies below its bin and, in the bin, below it.
+BINS = 1024
 
-    Scores are pre-aggregated by value, so windows run over different scores only. AUC, balanced accuracy and average
-    precision are null where only one class occurs; precision, recall and F1 are 0 where they aren't defined.
-    """
+
+def _from_scores(scores: DataFrame, by: list[str], p: str, threshold: float) -> DataFrame:
+    """All metrics from counts of rows (m) and positives (pos) for each different score."""
     s = F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
-    pred = (F.col(p) >= threshold).cast("int")
-    base = df.withColumns({"_p": pred, "_ll": -F.when(F.col(y) == 1, F.log(s)).otherwise(F.log(1 - s)), "_b": F.pow(F.col(p) - F.col(y), 2)})
-    hit = lambda a, b: F.count_if((F.col(y) == a) & (F.col("_p") == b))
-    agg = base.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(y).alias("positive_rate"), F.avg(p).alias("mean_prediction"), F.avg("_p").alias("predicted_positive_rate"), hit(1, 1).alias("tp"), hit(0, 1).alias("fp"),
-        hit(0, 0).alias("tn"), hit(1, 0).alias("fn"), F.avg("_b").alias("brier_score"), F.avg("_ll").alias("log_loss"),
+    taken, neg = F.col(p) >= threshold, F.col("m") - F.col("pos")
+    total = lambda x: F.sum(x).cast("long")
+    agg = scores.groupBy(*by).agg(
+        total("m").alias("n"), (F.sum("pos") / F.sum("m")).alias("positive_rate"), (F.sum(F.col("m") * F.col(p)) / F.sum("m")).alias("mean_prediction"), (F.sum(F.when(taken, F.col("m")).otherwise(0)) / F.sum("m")).alias("predicted_positive_rate"),
+        total(F.when(taken, F.col("pos")).otherwise(0)).alias("tp"), total(F.when(taken, neg).otherwise(0)).alias("fp"), total(F.when(taken, 0).otherwise(neg)).alias("tn"), total(F.when(taken, 0).otherwise(F.col("pos"))).alias("fn"),
+        (F.sum(F.col("pos") * F.pow(F.col(p) - 1, 2) + neg * F.pow(F.col(p), 2)) / F.sum("m")).alias("brier_score"), (-F.sum(F.col("pos") * F.log(s) + neg * F.log(1 - s)) / F.sum("m")).alias("log_loss"),
     )
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
     agg = agg.withColumns({
         "accuracy": (tp + tn) / F.col("n"), "balanced_accuracy": (F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2, "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn),
     })
-    scores = df.groupBy(*by, p).agg(F.count("*").alias("m"), F.sum(y).alias("pos"))
-    up = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    rank = F.coalesce(F.sum("m").over(up), F.lit(0)) + (F.col("m") + 1) / 2
-    ranked = scores.withColumns({"_r": F.col("pos") * rank, "_prec": F.col("pos") * F.sum("pos").over(down) / F.sum("m").over(down)})
-    sums = ranked.groupBy(*by).agg(F.sum("_r").alias("_r"), F.sum("_prec").alias("_ap"), F.sum("pos").cast("double").alias("_pos"), (F.sum("m") - F.sum("pos")).cast("double").alias("_neg"))
+    scores = scores.withColumn("_bin", F.greatest(F.lit(-1), F.least(F.lit(BINS), F.floor(F.col(p) * BINS))))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = scores.groupBy(*by, "_bin").agg(F.sum("m").alias("_m"), F.sum("pos").alias("_p"))
+    all_ = Window.partitionBy(*by)
+    bins = bins.select(*by, "_bin", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_m", "_p")], F.sum("_m").over(all_).alias("_m_all"), F.sum("_p").over(all_).alias("_p_all"))
+    inside = Window.partitionBy(*by, "_bin").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda c, x: F.col(f"{x}_before") + F.coalesce(F.sum(c).over(inside), F.lit(0))
+    at = scores.join(bins, [*by, "_bin"]).select(*by, "m", "pos", "_m_all", "_p_all", below("m", "_m").alias("_under"), below("pos", "_p").alias("_p_under"))
+    rank = F.col("_under") + (F.col("m") + 1) / 2
+    precision = F.col("pos") * (F.col("_p_all") - F.col("_p_under")) / (F.col("_m_all") - F.col("_under"))
+    sums = at.groupBy(*by).agg(F.sum(F.col("pos") * rank).alias("_r"), F.sum(precision).alias("_ap"), F.sum("pos").cast("double").alias("_pos"), (F.sum("m") - F.sum("pos")).cast("double").alias("_neg"))
     auc = F.try_divide(F.col("_r") - F.col("_pos") * (F.col("_pos") + 1) / 2, F.col("_pos") * F.col("_neg"))
     ap = F.when(F.col("_neg") > 0, F.try_divide("_ap", "_pos"))
     return agg.join(sums.select(*by, auc.alias("roc_auc"), ap.alias("average_precision")), by)
 
 
-def with_overall(df: DataFrame, metric, key: str = "instrument") -> DataFrame:
-    """A metric by ``key``, and once more over all rows as "overall"."""
-    return metric(df).unionByName(metric(df.withColumn(key, F.lit("overall"))))
+def _scores(df: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
+    return df.groupBy(*by, p).agg(F.count("*").alias("m"), F.sum(y).alias("pos"))
+
+
+def binary_metrics(df: DataFrame, by: list[str], y: str = "y_true", p: str = "prediction", threshold: float = 0.5) -> DataFrame:
+    """Counts, accuracy, precision, recall, F1, Brier score, log loss, AUC (average ranks) and average precision of each group.
+
+    Rows are counted by score with a map-side combine, and all else follows from these counts; scores are ordered bin by bin, so no task
+    sorts all of a group's. AUC, balanced accuracy and average precision are null where only one class occurs; precision, recall and F1
+    are 0 where they aren't defined.
+    """
+    return _from_scores(_scores(df, by, y, p), by, p, threshold)
+
+
+def with_overall(df: DataFrame, key: str = "instrument", y: str = "y_true", p: str = "prediction", threshold: float = 0.5) -> DataFrame:
+    """The metrics by ``key``, and once more over all rows as "overall": rows are read and counted once."""
+    scores = _scores(df, [key], y, p).withColumn(key, F.explode(F.array(F.col(key), F.lit("overall"))))
+    return _from_scores(scores.groupBy(key, p).agg(F.sum("m").alias("m"), F.sum("pos").alias("pos")), [key], p, threshold)
 
 
 def curve_points(df: DataFrame, by: list[str], y: str = "y_true", p: str = "prediction") -> DataFrame:
@@ -69,34 +89,49 @@ def ev_threshold(df: DataFrame, by: list[str], y: str = "y_true", r: str = "sign
     return g.withColumn("raw_threshold", raw).withColumn("clipped_threshold", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "raw_threshold")), F.lit(0.5)))
 
 
+#: Modulus of the draws, a prime below 2^31: squares of numbers below it fit in 64 bits.
+PRIME = 2147483647
+
+
+def draw(sample, place, stratum, seed: int = 11):
+    """A whole number from 0 to PRIME - 1 by sample, place and stratum: squarings keep neighbours apart. The same on any engine."""
+    z = (sample * F.lit(1000003) + place * F.lit(7919) + stratum * F.lit(104729) + F.lit(seed)) % PRIME
+    z = (z * z + 12345) % PRIME
+    z = (z * 48271 + place) % PRIME
+    return (z * z + sample) % PRIME
+
+
 def bootstrap_threshold(df: DataFrame, by: list[str], draws: int = 2000, y: str = "y_true", r: str = "signed_touch_return", seed: int = 11) -> DataFrame:
-    """Median, 5th and 95th percentile of the threshold over stratified bootstrap samples.
+    """Median, 5th and 95th percentile of the threshold over stratified bootstrap samples: each class is drawn from with replacement, as many rows as it has.
 
-    Every row is drawn a Poisson(1) number of times in each sample, by a hash of seed, sample and row: no shuffle of samples, only
-    sums with a map-side combine. Given the class sizes, this is the bootstrap's usual distributed form.
+    A group's returns of one class, in order of date, are one array (a few thousand events); only samples are exploded, each as a number, so rows
+    are neither copied nor shuffled again.
     """
-    # Cumulative Poisson(1) probabilities: the count is how many of them a uniform draw passes.
-    steps, total, term = [], 0.0, 0.36787944117144233
-    for i in range(8):
-        total += term
-        steps.append(total)
-        term /= i + 1
-    rows = df.select(*by, y, r, F.xxhash64(*by, "date", r).alias("_k")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", "_k"), F.lit(1 << 40)) / float(1 << 40)
-    n = F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: s <= u))
-    sums = rows.withColumn("_n", n).groupBy(*by, "draw", y).agg(F.try_divide(F.sum(F.col("_n") * F.col(r)), F.sum("_n")).alias("m"))
-    both = sums.groupBy(*by, "draw").agg(F.max(F.when(F.col(y) == 1, F.col("m"))).alias("g"), F.max(F.when(F.col(y) == 0, F.col("m"))).alias("b"))
+    known = df.where(F.col(r).isNotNull() & F.col(y).isin(0, 1)).select(*by, F.col(y).cast("long").alias("_y"), F.struct("date", F.col(r).alias("r")).alias("_r"))
+    classes = known.groupBy(*by, "_y").agg(F.transform(F.sort_array(F.collect_list("_r")), lambda x: x["r"]).alias("_v"))
+    classes = classes.withColumns({"_n": F.size("_v").cast("long"), "sample": F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long")))})
+    value = lambda j: F.get("_v", (draw(F.col("sample"), j, F.col("_y"), seed) * F.col("_n") / F.lit(PRIME)).cast("int"))
+    mean = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), F.lit(0.0), lambda acc, j: acc + value(j)) / F.col("_n")
+    sums = classes.select(*by, "sample", "_y", mean.alias("m"))
+    both = sums.groupBy(*by, "sample").agg(F.max(F.when(F.col("_y") == 1, F.col("m"))).alias("g"), F.max(F.when(F.col("_y") == 0, F.col("m"))).alias("b"))
     t = F.when(F.col("g") > F.col("b"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), -F.col("b") / (F.col("g") - F.col("b")))))
     return both.withColumn("t", t).groupBy(*by).agg(F.count("t").alias("samples"), F.percentile("t", 0.5).alias("median"), F.percentile("t", 0.05).alias("pct5"), F.percentile("t", 0.95).alias("pct95"))
 
 
 def threshold_sweep(df: DataFrame, by: list[str], y: str = "y_true", p: str = "prediction", steps: int = 37) -> DataFrame:
-    """The threshold from 0.05 to 0.95 of the best F1; the first of equals, and none that predicts one class only."""
-    t = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.round(0.05 + i * (0.9 / (steps - 1)), 10))).alias("threshold")
-    rows = df.select(*by, y, p, t).withColumn("_p", F.col(p) >= F.col("threshold"))
-    tp, fp, fn = F.count_if((F.col(y) == 1) & F.col("_p")), F.count_if((F.col(y) == 0) & F.col("_p")), F.count_if((F.col(y) == 1) & ~F.col("_p"))
-    g = rows.groupBy(*by, "threshold").agg(F.coalesce(F.try_divide(2.0 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1"), F.count_if("_p").alias("_taken"), F.count("*").alias("_n"))
-    g = g.where("_taken > 0 and _taken < _n")
+    """The threshold from 0.05 to 0.95 of the best F1; the first of equals, and none that predicts one class only.
+
+    Rows are counted by how many thresholds they reach; thresholds are then sums of these few counts.
+    """
+    steps_ = F.sequence(F.lit(0), F.lit(steps - 1))
+    at = lambda i: F.round(0.05 + i * (0.9 / (steps - 1)), 10)
+    reached = F.size(F.filter(F.transform(steps_, at), lambda t: t <= F.col(p)))
+    counts = df.groupBy(*by, reached.alias("_k")).agg(F.count("*").alias("m"), F.sum(y).alias("pos"))
+    rows = counts.withColumn("_i", F.explode(steps_)).withColumn("_p", F.col("_k") > F.col("_i"))
+    on = lambda c: F.sum(F.when(F.col("_p"), F.col(c)).otherwise(0))
+    g = rows.groupBy(*by, "_i").agg(on("pos").alias("_tp"), on("m").alias("_taken"), F.sum("pos").alias("_pos"), F.sum("m").alias("_n"))
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("_tp"), F.col("_taken") + F.col("_pos")), F.lit(0.0))
+    g = g.where("_taken > 0 and _taken < _n").select(*by, at(F.col("_i")).alias("threshold"), f1.alias("f1"))
     return g.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("f1"), "threshold"))).where("_k = 1").select(*by, "threshold", "f1")
 
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.windows import lag, lead, safe_div
 from .allocation import MAX_GROSS, MAX_WEIGHT, TARGET_VOL, annual_vol, cap, gross_capped
-from .selection import clusters, pair_correlations, profile, representatives, target_correlations
+from .selection import clusters, long_form, pair_correlations, profile, representatives, target_correlations
 
 
 def estimator(kind: str, n_features: int, n_rows: int, **params):
@@ -31,9 +37,10 @@ def estimator(kind: str, n_features: int, n_rows: int, **params):
 
 
 def prepared(train: DataFrame, cols: list[str], clip: bool = True) -> dict:
-    """Medians and 1% and 99% quantiles of the training rows, one row to the driver."""
-    q = train.agg(*[F.percentile(c, F.array(F.lit(0.5), F.lit(0.01), F.lit(0.99))).alias(c) for c in cols]).first()
-    return {c: tuple(q[c]) if q[c] else (0.0, 0.0, 0.0) for c in cols}
+    """Medians and 1% and 99% quantiles of the training rows: three rows a column to the driver. Columns without values have zeros."""
+    found = exact_quantiles(long_form(train, cols), ["feature"], "value", [0.5, 0.01, 0.99]).collect()
+    at = {(r["feature"], r["share"]): r["quantile"] for r in found}
+    return {c: tuple(at.get((c, q), 0.0) for q in (0.5, 0.01, 0.99)) for c in cols}
 
 
 def filled(df: DataFrame, bounds: dict) -> DataFrame:
@@ -106,21 +113,36 @@ def cluster_importance(scores: DataFrame, grouped: DataFrame) -> DataFrame:
     return scores.join(grouped, "feature").groupBy("cluster").agg(F.sum("importance").alias("importance"), F.sort_array(F.collect_list("feature")).alias("features"), F.count("*").alias("n_features"))
 
 
-def permutation_importance(test: DataFrame, cols: list[str], predict, repeats: int = 3) -> DataFrame:
-    """Rise of the Brier score when a column's values are dealt anew within an instrument, by the order of a hash."""
-    from pyspark.sql.window import Window
-
-    spark = test.sparkSession
-    base = predict(test).agg(F.avg(F.pow(F.col("y_proba") - F.col("label"), 2))).first()[0]
-    rows = []
-    for c in cols:
-        for k in range(repeats):
-            place = F.row_number().over(Window.partitionBy("instrument").orderBy("date"))
-            other = F.row_number().over(Window.partitionBy("instrument").orderBy(F.xxhash64(F.lit(f"{c}{k}"), "date")))
-            dealt = test.select("instrument", other.alias("_at"), F.col(c).alias("_v"))
-            moved = test.withColumn("_at", place).join(dealt, ["instrument", "_at"]).withColumn(c, F.col("_v")).drop("_at", "_v")
-            rows.append((c, k, predict(moved).agg(F.avg(F.pow(F.col("y_proba") - F.col("label"), 2))).first()[0] - base))
-    return spark.createDataFrame(rows, "feature string, repeat int, rise double").groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_samp("rise").alias("deviation"))
+def grid_search(train: DataFrame, cols: list[str], kind: str, grid: dict[str, list], folds: int = 3, seed: int = 42) -> tuple[dict, object, list[tuple[dict, float]]]:
+    """The parameters of the best mean AUC over stratified folds, the pipeline fitted with them on all of ``train``, and every combination's mean AUC.
+
+    Rows are dealt to folds within each class by the order of a hash of instrument and date. Spark's cross-validation fits the combinations, two at a time.
+    ``grid``: values of the estimator's own parameters by name, as ``{"regParam": [0.1, 1.0]}``.
+    """
+    w = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "instrument", "date"), "instrument", "date")
+    rows = balanced(filled(train, prepared(train, cols))).withColumns({"label": F.col("label").cast("double"), "_fold": ((F.row_number().over(w) - 1) % folds).cast("int")})
+    model = estimator(kind, len(cols), train.count())
+    builder = ParamGridBuilder()
+    for k, values in grid.items():
+        builder = builder.addGrid(model.getParam(k), values)
+    maps = builder.build()
+    line = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True), model])
+    search = CrossValidator(estimator=line, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(), numFolds=folds, foldCol="_fold", parallelism=2)
+    found = search.fit(rows)
+    named = [({p.name: v for p, v in m.items()}, float(a)) for m, a in zip(maps, found.avgMetrics, strict=True)]
+    return max(named, key=lambda x: x[1])[0], found.bestModel, named
+
+
+def save_bundle(model, path: str, **about) -> None:
+    """A fitted pipeline and what there is to know of it, as JSON, under one path of any store."""
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(json.dumps(about, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load_bundle(path: str):
+    """The pipeline and the facts that ``save_bundle`` wrote."""
+    return PipelineModel.load(f"{path}/model"), json.loads(SparkSession.active().read.text(f"{path}/about").first()[0])
 
 
 def head_dataset(predictions: DataFrame, features: DataFrame, bars: DataFrame, threshold: float = 0.5) -> DataFrame:

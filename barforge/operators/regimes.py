@@ -88,17 +88,21 @@ def _rows(part: pd.DataFrame, probs: np.ndarray) -> pd.DataFrame:
     return out
 
 
-def detect(obs: DataFrame, training_end: str, cols=OBSERVATIONS) -> DataFrame:
+def detect(obs: DataFrame, training_end: str, cols=OBSERVATIONS, least: int = 20 * STATES) -> DataFrame:
     """Regimes of every bar with all observations: fitted by instrument up to ``training_end``, filtered causally over all.
 
-    States are numbered by mean return, then mean volatility. One group is one instrument's bars.
+    States are numbered by mean return, then mean volatility. One group is one instrument's bars. An instrument of fewer than ``least``
+    training rows has all its rows, with nulls: so few don't tell four states.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("date")
         known = pd.to_datetime(part["date"]) <= pd.Timestamp(training_end)
-        if known.sum() < 20 * STATES:
-            return _rows(part.iloc[:0], np.zeros((0, STATES)))
+        if known.sum() < least:
+            none = part[["date", "instrument"]].copy()
+            for f in _OUT.fields[2:]:
+                none[f.name] = pd.array([None] * len(none), "Int32" if f.name == "hmm_predicted_regime" else "Float64")
+            return none
         x = part[list(cols)].to_numpy(float)
         mean, sd = x[known].mean(0), x[known].std(0)
         x = (x - mean) / np.where(sd > 0, sd, 1)

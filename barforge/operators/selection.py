@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.quantiles import exact_quantiles
+from .candidates import average_linkage
+
 
 def numeric_columns(df: DataFrame, denied=("date", "instrument")) -> list[str]:
     """Numeric columns that aren't on the list."""
@@ -26,14 +32,33 @@ def long_form(df: DataFrame, cols: list[str], *keys: str) -> DataFrame:
     return df.selectExpr(*keys, f"stack({len(cols)}, {pairs}) as (feature, value)").where("value is not null")
 
 
+def named(df: DataFrame, *prefixes: str) -> list[str]:
+    """Columns whose names begin with one of the prefixes."""
+    return [c for c in df.columns if c.startswith(prefixes)]
+
+
+def split_protected(cols: list[str], protected: tuple[str, ...], prefixes: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
+    """Columns that a reduction must leave alone, by name or prefix, and the others, each in their order."""
+    kept = [c for c in cols if c in protected or (prefixes and c.startswith(prefixes))]
+    return kept, [c for c in cols if c not in kept]
+
+
+def numbers(df: DataFrame, *cols: str) -> DataFrame:
+    """The columns as doubles; texts that aren't numbers, and NaN, give null."""
+    value = lambda c: F.col(f"`{c}`").cast("string").try_cast("double")
+    return df.withColumns({c: F.when(~F.isnan(value(c)), value(c)) for c in cols})
+
+
 def profile(df: DataFrame, cols: list[str]) -> DataFrame:
     """Missing share, different values, variance and quartiles of each column; whether it is constant."""
     pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in cols)
     long = df.selectExpr(f"stack({len(cols)}, {pairs}) as (feature, value)")
-    return long.groupBy("feature").agg(
-        F.avg(F.col("value").isNull().cast("int")).alias("missing_rate"), F.count_distinct("value").alias("nunique"), F.var_samp("value").alias("variance"), F.percentile("value", 0.25).alias("q25"), F.percentile("value", 0.5).alias("median"),
-        F.percentile("value", 0.75).alias("q75"), (F.count_distinct("value") <= 1).alias("constant"),
-    )
+    sums = long.groupBy("feature").agg(F.avg(F.col("value").isNull().cast("int")).alias("missing_rate"), F.var_samp("value").alias("variance"))
+    kinds = long.groupBy("feature", "value").count().groupBy("feature").agg(F.count("value").alias("nunique"))
+    at = exact_quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75])
+    quartile = lambda q, name: F.max(F.when(F.col("share") == q, F.col("quantile"))).alias(name)
+    quartiles = at.groupBy("feature").agg(quartile(0.25, "q25"), quartile(0.5, "median"), quartile(0.75, "q75"))
+    return sums.join(kinds, "feature").join(quartiles, "feature", "left").withColumn("constant", F.col("nunique") <= 1)
 
 
 def family(feature: str = "feature"):
@@ -51,22 +76,141 @@ def missing_by_family(df: DataFrame, cols: list[str]) -> DataFrame:
     return p.withColumn("family", family()).groupBy("family").agg(F.count("*").alias("features"), F.avg("missing_rate").alias("mean_missing_rate"))
 
 
+#: Where a column comes from, by its name: prefixes and names of the workflow's groups, in the order in which they are tried (fixed values).
+RAW_MARKET = ("open", "high", "low", "close", "volume", "open_interest")
+TECHNICAL = ("ret_", "roc_", "mom_", "slope", "sma", "ema", "macd", "rsi", "stoch", "williams", "cci", "mfi", "uo", "zscore", "bb_", "donchian", "atr", "vol_")
+ENGINEERED_MARKET = ("volume_log_change", "open_interest_log_change", "volume_to_open_interest", "range_pct", "body_pct", "upper_wick_pct", "lower_wick_pct", "close_position_in_bar", "gap_open_pct")
+
+
+def source_family(feature: Column | str) -> Column:
+    """hmm, raw_market, technical, engineered_market, engineered_signal or other."""
+    f = F.col(feature) if isinstance(feature, str) else feature
+    token = f.rlike("|".join(TECHNICAL))
+    rules = ((f.startswith("hmm_") | f.contains("_hmm_"), "hmm"), (f.isin(*RAW_MARKET), "raw_market"), (token, "technical"), (f.isin(*ENGINEERED_MARKET), "engineered_market"), (f.startswith("signal_") | f.startswith("days_since_signal"), "engineered_signal"))
+    out = F.when(*rules[0])
+    for test, name in rules[1:]:
+        out = out.when(test, name)
+    return out.otherwise("other")
+
+
+def correlation_bucket(a: Column, b: Column) -> Column:
+    """What a high correlation between columns of two families speaks of."""
+    either = lambda k: (a == k) | (b == k)
+    both = lambda k: (a == k) & (b == k)
+    return (
+        F.when(either("hmm"), "HMM duplicates/redundancies").when(both("technical"), "TA window variants").when(both("raw_market"), "Raw price-level correlations")
+        .when(either("technical") & either("engineered_market"), "Engineered-vs-technical overlaps").otherwise("Other high-correlation pairs")
+    )
+
+
+def bucketed(correlations: DataFrame, least: float = 0.9) -> DataFrame:
+    """Pairs of an absolute correlation of ``least`` or more with both families and their bucket."""
+    out = correlations.where(F.abs("corr") >= least).withColumns({"a_family": source_family("a"), "b_family": source_family("b")})
+    return out.withColumn("bucket", correlation_bucket(F.col("a_family"), F.col("b_family")))
+
+
+def _pearson(df: DataFrame, cols: list[str], least: int) -> DataFrame:
+    """Sums over pairs of columns: each task adds up its rows as matrices and gives one row a pair, whatever the number of rows."""
+    plain = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    centre = np.array([x or 0.0 for x in plain.agg(*[F.avg(F.nanvl(c, F.lit(None).cast("double"))) for c in plain.columns]).first()])
+    at = np.array([(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]).reshape(-1, 2)
+
+    def run(batches):
+        d = len(centre)
+        total = np.zeros((6, d, d))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - centre if batch.num_rows else np.zeros((0, d))
+            known = ~np.isnan(x)
+            x, m = np.where(known, x, 0.0), known.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        rows = total[:, at[:, 0], at[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(at[:, 0], pa.int32()), pa.array(at[:, 1], pa.int32()), *map(pa.array, rows)], ["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    sums = plain.mapInArrow(run, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    s = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    sd = F.sqrt(F.greatest(F.col("n") * F.col("xx") - F.col("x") ** 2, F.lit(0.0))) * F.sqrt(F.greatest(F.col("n") * F.col("yy") - F.col("y") ** 2, F.lit(0.0)))
+    # What rounding leaves of a constant's deviation is none.
+    flat = (F.col("n") * F.col("xx") - F.col("x") ** 2 <= 1e-13 * F.col("n") * F.col("xx")) | (F.col("n") * F.col("yy") - F.col("y") ** 2 <= 1e-13 * F.col("n") * F.col("yy"))
+    corr = F.when((F.col("n") >= least) & ~flat, (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.nullif(sd, F.lit(0.0)))
+    name = lambda i: F.element_at(F.array(*map(F.lit, cols)), F.col(i) + 1)
+    return s.where("n > 0").select(name("i").alias("a"), name("j").alias("b"), F.col("n").cast("long").alias("n"), corr.alias("corr"))
+
+
+def tau_b(x: np.ndarray, y: np.ndarray) -> float:
+    """Kendall's rank correlation with ties, by counting inversions while merging."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    ties = lambda *v: sum(c * (c - 1) / 2 for c in np.unique(np.column_stack(v), axis=0, return_counts=True)[1].tolist())
+    n = len(x)
+    total, tx, ty, txy = n * (n - 1) / 2, ties(x), ties(y), ties(x, y)
+    swaps, width = 0, 1
+    y = y.copy()
+    while width < n:
+        for i in range(0, n - width, 2 * width):
+            left, right = y[i : i + width], y[i + width : i + 2 * width]
+            swaps += int((len(left) - np.searchsorted(left, right, side="right")).sum())
+            y[i : i + 2 * width] = np.sort(y[i : i + 2 * width], kind="stable")
+        width *= 2
+    scale = ((total - tx) * (total - ty)) ** 0.5
+    return (total - tx - ty + txy - 2 * swaps) / scale if scale else float("nan")
+
+
 def pair_correlations(df: DataFrame, cols: list[str], method: str = "pearson", least: int = 20) -> DataFrame:
-    """a, b, n, corr of every pair of columns over the rows that have both; null below ``least`` rows or for a constant.
+    """a, b, n, corr of every pair of columns over the rows that have both; null below ``least`` rows or for a constant. Pairs without common rows are left out.
 
-    Pearson: one wide aggregate of pairwise sums, a row a pair, with a map-side combine. Spearman: ranks are averages of
-    ties, and counted again for each pair over its own rows, so the pairs are exploded first.
+    Pearson: each task adds up all pairs of its rows, and one row a pair and task is shuffled. Spearman and Kendall rank
+    anew for each pair over its own rows, so the pairs are exploded first; a task has one pair's rows.
     """
+    if method == "pearson":
+        return _pearson(df, cols, least)
+    if method not in ("spearman", "kendall"):
+        raise ValueError(f"unknown method {method!r}")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     items = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])
     long = df.select(F.explode(items).alias("p")).select("p.*").where("x is not null and y is not null")
-    if method == "spearman":
-        rank = lambda v: F.rank().over(Window.partitionBy("a", "b").orderBy(v)) + (F.count("*").over(Window.partitionBy("a", "b", v)) - 1) / 2.0
-        long = long.withColumns({"_x": rank("x"), "_y": rank("y")}).select("a", "b", F.col("_x").alias("x"), F.col("_y").alias("y"))
+    if method == "kendall":
+
+        def one(part: pd.DataFrame) -> pd.DataFrame:
+            tau = tau_b(part["x"].to_numpy(), part["y"].to_numpy()) if len(part) >= least else float("nan")
+            return pd.DataFrame({"a": part["a"].iloc[:1], "b": part["b"].iloc[:1], "n": len(part), "corr": tau})
+
+        out = long.groupBy("a", "b").applyInPandas(one, "a string, b string, n long, corr double")
+        return out.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
+    rank = lambda v: F.rank().over(Window.partitionBy("a", "b").orderBy(v)) + (F.count("*").over(Window.partitionBy("a", "b", v)) - 1) / 2.0
+    long = long.withColumns({"_x": rank("x"), "_y": rank("y")}).select("a", "b", F.col("_x").alias("x"), F.col("_y").alias("y"))
     sd = F.nullif(F.stddev_pop("x") * F.stddev_pop("y"), F.lit(0.0))
     return long.groupBy("a", "b").agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.covar_pop("x", "y") / sd).alias("corr"))
 
 
+def mutual_information(df: DataFrame, cols: list[str], y: str, bins: int = 10) -> DataFrame:
+    """feature, n, information: of each column, binned between its quantiles, and a class, in nats; rows that miss either don't count."""
+    long = long_form(df, cols, y).where(F.col(y).isNotNull())
+    edges = exact_quantiles(long, ["feature"], "value", [i / bins for i in range(1, bins)]).groupBy("feature").agg(F.collect_list("quantile").alias("_e"))
+    at = long.join(F.broadcast(edges), "feature")  # a row a column
+    counts = at.groupBy("feature", y, F.size(F.filter("_e", lambda e: e < F.col("value"))).alias("bin")).agg(F.count("*").alias("c"))
+    over = lambda *by: F.sum("c").over(Window.partitionBy("feature", *by))
+    parts = counts.withColumns({"nb": over("bin"), "ny": over(y), "n": over()})
+    return parts.groupBy("feature").agg(F.max("n").alias("n"), F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("nb") * F.col("ny")))).alias("information"))
+
+
+def linkage_selection(df: DataFrame, cols: list[str], y: str, least: float = 0.9, most: int = 50) -> DataFrame:
+    """feature, cluster, score, cluster_size: of each group of columns by average linkage over 1 - |correlation|, the one that tells most of ``y``; the ``most`` best.
+
+    Correlations and scores, a row a pair and a column, reach the driver, which joins at most as many groups as there are columns.
+    """
+    at = {c: i for i, c in enumerate(cols)}
+    corr = np.eye(len(cols))
+    for r in pair_correlations(df, cols).where("corr is not null").collect():
+        corr[at[r["a"]], at[r["b"]]] = corr[at[r["b"]], at[r["a"]]] = min(1.0, abs(r["corr"]))
+    score = {r["feature"]: r["information"] for r in mutual_information(df, cols, y).collect()}
+    rows = []
+    for k, group in enumerate(average_linkage(1 - corr, 1 - least), 1):
+        best = min(group, key=lambda i: (-score.get(cols[i], 0.0), i))
+        rows.append((cols[best], k, float(score.get(cols[best], 0.0)), len(group)))
+    rows.sort(key=lambda r: (-r[2], r[0]))
+    return df.sparkSession.createDataFrame(rows[:most], "feature string, cluster int, score double, cluster_size int")
+
+
 def target_correlations(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     """Absolute correlation of each column with the target; null below three rows or for a constant."""
     long = long_form(df, cols, target).where(F.col(target).isNotNull())
@@ -104,25 +248,61 @@ def representatives(grouped: DataFrame, stats: DataFrame, scores: DataFrame, pol
     return all_.withColumns({"_k": F.row_number().over(w), "cluster_size": size}).where("_k = 1").select("cluster", F.col("feature").alias("representative"), "cluster_size")
 
 
-def duplicate_columns(df: DataFrame, cols: list[str], *keys: str) -> DataFrame:
-    """Groups of columns that hold the same values in every row: sums of row-wise hashes, a map-side combine instead of lists of values."""
-    row = F.xxhash64(*keys)
-    prints = df.agg(*[F.sum((F.xxhash64(F.lit(0), row, F.col(c).cast("double")) % 1_000_000_007)).alias(c) for c in cols])
-    long = prints.selectExpr(f"stack({len(cols)}, " + ", ".join(f"'{c}', `{c}`" for c in cols) + ") as (feature, print)")
-    groups = long.groupBy("print").agg(F.sort_array(F.collect_list("feature")).alias("features"))
-    return groups.where(F.size("features") > 1).select(F.col("features")[0].alias("kept"), F.concat_ws(";", "features").alias("features"))
+#: Of columns that hold the same, the one to keep if it is among them, in this order (fixed values).
+KEEP_FIRST = ("hmm_prob_stress", "hmm_prob_calm_positive", "hmm_prob_calm_negative", "hmm_prob_upside_breakout", "hmm_regime_missing")
+
 
+def duplicate_columns(df: DataFrame, cols: list[str], *keys: str, prefer: tuple[str, ...] = KEEP_FIRST) -> DataFrame:
+    """kept, features: groups of columns that hold the same values in every row, and which to keep: the first preferred one, else the first by name.
 
-def clean(df: DataFrame, cols: list[str], most_missing: float = 0.5, most_corr: float = 0.98) -> list[str]:
-    """Columns that stay: not constant, not half missing, and not ranked like an earlier one. One row a column reaches the driver."""
+    Sums of row-wise hashes, a map-side combine instead of lists of values, propose groups; a second aggregate counts the rows in
+    which a column differs from its group's first, and columns that do are no part of it.
+    """
+    row = F.xxhash64(*keys)
+    value = lambda c: F.col(f"`{c}`").cast("double")
+    prints = df.agg(*[F.sum((F.xxhash64(F.lit(0), row, value(c)) % 1_000_000_007)).alias(f"p{i}") for i, c in enumerate(cols)]).first()
+    groups: dict = {}
+    for i, c in enumerate(cols):
+        groups.setdefault(prints[i], []).append(c)
+    pairs = [(g[0], c) for g in groups.values() for c in g[1:]]
+    rows = []
+    if pairs:
+        off = df.agg(*[F.count_if(~value(a).eqNullSafe(value(b))).alias(f"d{i}") for i, (a, b) in enumerate(pairs)]).first()
+        same = {pair for pair, n in zip(pairs, off, strict=True) if n == 0}
+        for g in groups.values():
+            alike = sorted([g[0], *[c for c in g[1:] if (g[0], c) in same]])
+            if len(alike) > 1:
+                rows.append((next((p for p in prefer if p in alike), alike[0]), ";".join(alike)))
+    return df.sparkSession.createDataFrame(rows, "kept string, features string")
+
+
+def ranked(df: DataFrame, cols: list[str], *keys: str) -> DataFrame:
+    """keys and the columns' average ranks over all rows that have a value; each row needs keys of its own."""
+    long = long_form(df, cols, *keys)
+    counts = long.groupBy("feature", "value").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    at = counts.select("feature", "value", (upto - (F.col("_n") - 1) / 2.0).alias("_rank"))
+    return long.join(at, ["feature", "value"]).groupBy(*keys).pivot("feature", cols).agg(F.max("_rank"))
+
+
+def clean(df: DataFrame, cols: list[str], *keys: str, most_missing: float = 0.5, most_corr: float = 0.98) -> tuple[list[str], dict[str, str]]:
+    """Columns that stay, and why each other one goes: constant, the same as an earlier one, more than half missing, or ranked like an earlier one.
+
+    Columns are ranked once over their own values, then correlated over the rows that both have. A row a column and a pair reach the driver.
+    """
     stats = {r["feature"]: r for r in profile(df, cols).collect()}
-    kept = [c for c in cols if not stats[c]["constant"] and stats[c]["missing_rate"] <= most_missing]
-    near = {(r["a"], r["b"]) for r in pair_correlations(df, kept, "spearman").where(F.abs("corr") >= most_corr).collect()}
-    out: list[str] = []
-    for c in kept:
-        if not any((o, c) in near for o in out):
-            out.append(c)
-    return out
+    log = {c: "constant" for c in cols if stats[c]["constant"]}
+    stay = [c for c in cols if c not in log]
+    for r in duplicate_columns(df, stay, *keys, prefer=()).collect():
+        first, *others = sorted(r["features"].split(";"), key=cols.index)
+        log |= {c: f"the same as {first}" for c in others}
+    log |= {c: f"missing {stats[c]['missing_rate']:.1%}" for c in stay if c not in log and stats[c]["missing_rate"] > most_missing}
+    stay = [c for c in cols if c not in log]
+    near = {(r["a"], r["b"]) for r in pair_correlations(ranked(df, stay, *keys), stay, least=2).where(F.abs("corr") >= most_corr).collect()} if len(stay) > 1 else set()
+    for i, c in enumerate(stay):
+        if c not in log:
+            log |= {o: f"ranked like {c}" for o in stay[i + 1 :] if o not in log and (c, o) in near}
+    return [c for c in cols if c not in log], {c: log[c] for c in cols if c in log}
 
 
 #: Columns that the workflow drops before it looks at their values: aliases, codes, labels, flags.

@@ -21,10 +21,12 @@ def mode_by(df: DataFrame, by: str, column: str) -> DataFrame:
 
 
 def evenly_spaced(df: DataFrame, n: int) -> DataFrame:
-    """Of each instrument, the rows at ``n`` positions spread evenly from its first to its last by date."""
+    """Of each instrument, the rows at ``n`` positions spread evenly from its first to its last by date; one position is the first, none are none."""
+    if n < 1:
+        return df.limit(0)
     w = Window.partitionBy("instrument")
     rows = df.withColumns({"_at": F.row_number().over(w.orderBy("date")) - 1, "_n": F.count("*").over(w)})
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / (n - 1)))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / max(1, n - 1)))
     return rows.where(F.array_contains(wanted, F.col("_at").cast("bigint"))).drop("_at", "_n")
 
 
@@ -48,3 +50,18 @@ def issue_flags(df: DataFrame, **rules) -> DataFrame:
 def missing_names(df: DataFrame, cols: list[str]) -> DataFrame:
     """``df`` with missing, the names of its columns that are null, joined by semicolons."""
     return df.withColumn("missing", F.concat_ws(";", *[F.when(F.col(c).isNull(), c) for c in cols]))
+
+
+def present(df: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+    """Rows of ``df`` whose keys ``other`` has; null keys aren't there."""
+    return df.join(other.select(*keys), list(keys), "left_semi")
+
+
+def absent(df: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+    """Rows of ``df`` whose keys ``other`` doesn't have."""
+    return df.join(other.select(*keys), list(keys), "left_anti")
+
+
+def column_sets(a: DataFrame, b: DataFrame) -> tuple[list[str], list[str], list[str]]:
+    """Column names of both, of the first only and of the second only, each in their order."""
+    return [c for c in a.columns if c in b.columns], [c for c in a.columns if c not in b.columns], [c for c in b.columns if c not in a.columns]

@@ -110,11 +110,39 @@ def interactions(df: DataFrame) -> DataFrame:
 
 
 def mapping_catalog(spark) -> DataFrame:
-    """The codes of the regime labels, one row for each, the first of a repeated key."""
+    """The codes of the regime labels, one row for each."""
     rows = [(s, f"{s}_code", v, i, kind) for s, labels, kind in (("hmm_volatility_regime", VOLATILITY_LABELS, "ordered"), ("hmm_return_regime", RETURN_LABELS, "ordered"), ("hmm_market_state", MARKET_LABELS, "nominal")) for i, v in enumerate(labels)]
     return spark.createDataFrame(rows, "source_column string, encoded_column string, category_label string, numeric_value int, mapping_type string")
 
 
+def feature_catalog(spark, groups: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """feature_name, feature_group, source of named groups of columns, each name once: its first group keeps it. Sorted by group and name."""
+    seen: dict[str, tuple[str, str, str]] = {}
+    for group, (source, cols) in groups.items():
+        for c in cols:
+            seen.setdefault(c, (c, group, source))
+    rows = sorted(seen.values(), key=lambda r: (r[1], r[0]))
+    return spark.createDataFrame(rows, "feature_name string, feature_group string, source string")
+
+
+def first_of_key(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row of each key: the first in the given order."""
+    return df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_k = 1").drop("_k")
+
+
+def validation_vector(matrix: DataFrame, features: list[str], signal_rows: int) -> DataFrame:
+    """One row of checks of a matrix: size, dates, instruments, missing feature columns, keys that repeat, infinite values and rows without a close."""
+    numeric = [f.name for f in matrix.schema if f.dataType.typeName() in ("double", "float")]
+    infinite = sum((F.coalesce((F.abs(F.col(f"`{c}`")) == float("inf")).cast("long"), F.lit(0)) for c in numeric), F.lit(0).cast("long"))
+    keys = matrix.groupBy("date", "instrument").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") - 1).alias("duplicate_date_instrument_keys"))
+    out = matrix.agg(
+        F.count("*").alias("rows"), F.lit(len(matrix.columns)).alias("columns"), F.min("date").alias("date_min"), F.max("date").alias("date_max"), F.count_distinct("instrument").alias("instrument_count"),
+        F.lit(len(set(features) & set(matrix.columns))).alias("technical_feature_count"), F.lit(len(set(features) - set(matrix.columns))).alias("missing_ta_columns"), F.sum(infinite).alias("infinite_numeric_values"), F.count_if(F.col("close").isNull()).alias("missing_close_rows"),
+        (F.count("*") == signal_rows).alias("keeps_signal_rows"),
+    )
+    return out.join(F.broadcast(keys), F.lit(True))  # a row each
+
+
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once, with how often."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ewm import Ewm, with_ewm
-from ..functions.windows import frame, high, lag, low, mean, safe_div, std, total, zscore
+from ..functions.windows import high, lag, last_values, low, mean, safe_div, staged, std, total, zscore
 
 YEAR = 252
 RETURNS = (1, 2, 3, 5, 10, 20, 63, 126, 252)
@@ -160,9 +160,8 @@ def _mean_distance(values: Column, n: int) -> Column:
 
 
 def cci(windows=CCIS) -> dict[str, Column]:
-    """Needs _tps{n}, the frame's typical prices as an array, for the mean distance from its own mean."""
-    full = lambda n: F.count("_tp").over(frame(n)) >= n
-    return {f"cci_{n}d": F.when(full(n), safe_div(F.col("_tp") - mean("_tp", n), 0.015 * _mean_distance(F.col(f"_tps{n}"), n))) for n in windows}
+    """The frame's typical prices are an array here, for the mean distance from its own mean."""
+    return {f"cci_{n}d": F.when(mean("_tp", n).isNotNull(), safe_div(F.col("_tp") - mean("_tp", n), 0.015 * _mean_distance(last_values("_tp", n), n))) for n in windows}
 
 
 def mfi(windows=(14,)) -> dict[str, Column]:
@@ -194,41 +193,44 @@ def bollinger_width(n: int = 20, k: float = 2.0) -> dict[str, Column]:
     }
 
 
+def macd_specs(fast: int = 12, slow: int = 26, signal: int = 9) -> list[Ewm]:
+    """After the two means of the close."""
+    return [Ewm("macd_line", (f"_ema{fast}", f"_ema{slow}"), "minus"), Ewm("macd_signal", "macd_line", span=signal), Ewm("macd_hist", ("macd_line", "macd_signal"), "minus")]
+
+
+def macd(window: int = 63) -> dict[str, Column]:
+    return {"macd_hist_chg": F.col("macd_hist") - lag("macd_hist"), "macd_zscore": zscore("macd_line", window)}
+
+
 def ewm_specs() -> list[Ewm]:
     """Every exponentially weighted column of the matrix, for one pass."""
     return [
         *ema_specs(),
+        *macd_specs(),
         *[Ewm(f"ewma_sd_{n}", "_lr", "std", span=n, adjust=True, least=n) for n in SHORT_VOLS],
         *[Ewm(f"_atr{n}", "_tr", alpha=1 / n, least=n) for n in ATRS],
         *[Ewm(f"_{k}{n}", f"_{k}", alpha=1 / n, least=n) for n in RSIS for k in ("gain", "loss")],
     ]
 
 
-def with_emas(bars: DataFrame) -> DataFrame:
-    """Prepared bars with all exponentially weighted columns of them."""
-    return with_ewm(prepare(bars), *ewm_specs())
-
-
-def with_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, window: int = 63) -> DataFrame:
-    df = with_ewm(df.withColumn("macd_line", F.col(f"_ema{fast}") - F.col(f"_ema{slow}")), Ewm("macd_signal", "macd_line", span=signal))
-    df = df.withColumn("macd_hist", F.col("macd_line") - F.col("macd_signal"))
-    return df.withColumns({"macd_hist_chg": F.col("macd_hist") - lag("macd_hist"), "macd_zscore": zscore("macd_line", window)})
-
-
 def build_all_features(bars: DataFrame) -> DataFrame:
-    """date, instrument and the 108 features. One shuffle by instrument serves every window and both grouped passes.
+    """date, instrument and the 108 features. One shuffle by instrument serves every window and the grouped pass.
 
-    Families go in separate projections, so that no generated method gets too long; frames of frames (slopes, %D, width z-scores)
-    follow a stage later. NaN and infinities never arise: divisions are safe and logarithms guarded.
+    Every frame is computed once, in one window stage, and the features are expressions of them; frames of features (slopes, %D, width
+    z-scores) make a second stage. NaN and infinities never arise: divisions are safe and logarithms guarded.
     """
-    df = with_macd(with_emas(bars))
-    df = df.withColumns({**returns(), **momentum_signs(), **rate_of_change(), **return_spreads()})
-    df = df.withColumns({**sma_vs_price(), **sma_crosses(), **ema_vs_price(), **ema_crosses(), **{f"_sma{n}": mean("close", n) for n in (20, 50, 100)}})
-    df = df.withColumns({**rolling_volatility(), **volatility_ratio(), **parkinson(), **garman_klass(), **{f"ewma_vol_{n}d": F.col(f"ewma_sd_{n}") * math.sqrt(YEAR) for n in SHORT_VOLS}})
-    df = df.withColumns({**price_ranges(), **atr(), **{f"_rsi{n}": rsi_value(n) for n in RSIS}, "stoch_k_14d": position(14) * 100, **{f"_tps{n}": F.collect_list("_tp").over(frame(n)) for n in CCIS}})
-    df = df.withColumns({**williams_r(), **mfi(), **ultimate_oscillator(), **price_zscore(), **donchian(), **bollinger_width()})
-    df = df.withColumns({**ma_slopes(), **rsi(), **cci(), "stoch_d_14d": mean("stoch_k_14d", 3), "bb_width_zscore": zscore("bb_width", 20)})
-    return df.select("date", "instrument", *FEATURES)
+    df = with_ewm(prepare(bars), *ewm_specs())
+    with staged() as frames:
+        first = {
+            **returns(), **momentum_signs(), **rate_of_change(), **return_spreads(), **sma_vs_price(), **sma_crosses(), **ema_vs_price(), **ema_crosses(), **macd(), **{f"_sma{n}": mean("close", n) for n in (20, 50, 100)},
+            **rolling_volatility(), **volatility_ratio(), **parkinson(), **garman_klass(), **{f"ewma_vol_{n}d": F.col(f"ewma_sd_{n}") * math.sqrt(YEAR) for n in SHORT_VOLS}, **price_ranges(), **atr(),
+            **{f"_rsi{n}": rsi_value(n) for n in RSIS}, "stoch_k_14d": position(14) * 100, **williams_r(), **cci(), **mfi(), **ultimate_oscillator(), **price_zscore(), **donchian(), **bollinger_width(),
+        }
+    later = ["_sma20", "_sma50", "_sma100", "_ema20", "_ema50", "macd_line", "macd_signal", "macd_hist", *[f"_rsi{n}" for n in RSIS]]
+    df = df.withColumns(frames).select("date", "instrument", *[v.alias(k) for k, v in first.items()], *[c for c in later if c not in first])
+    with staged() as frames:
+        second = {**ma_slopes(), **rsi(), "stoch_d_14d": mean("stoch_k_14d", 3), "bb_width_zscore": zscore("bb_width", 20)}
+    return df.withColumns(frames).select("date", "instrument", *[second.get(c, F.col(c)).alias(c) for c in FEATURES])
 
 
 FEATURES = [

@@ -78,24 +78,6 @@ def _fold_metrics(spark, sf_dir):
     return rounded(mt.candidate_summary(mt.binary_metrics(oof_of(spark, sf_dir), ["instrument", "split_id"], p="y_proba"), ["instrument"]))
 
 
-def candidates_of(spark, sf_dir):
-    """A table of candidates with scores from hashes: labels' configurations by four variants of each instrument."""
-    rows = [(t, c.config_name, v, f"{c.config_name}__{v}") for t in "ANR" for c in lb.SWEEP for v in range(4)]
-    df = spark.createDataFrame(rows, "ticker string, tb_config_name string, variant int, candidate string")
-    u = lambda k: F.round(hash_unit(k, F.col("ticker"), F.col("candidate")), 2)
-    return df.withColumns({"model_type": F.when(F.col("variant") < 2, "logistic").otherwise("forest"), "mean_auc": u("a"), "std_auc": u("b"), "median_auc": u("c"), "median_path_trade_sharpe": u("d"), "path_sharpe_iqr": u("e")})
-
-
-def _top3(spark, sf_dir):
-    return mt.top3_then_sharpe(candidates_of(spark, sf_dir)).select("ticker", "candidate", "auc_rank", "mean_auc", "median_path_trade_sharpe")
-
-
-def _upsert(spark, sf_dir):
-    c = candidates_of(spark, sf_dir)
-    new = c.where("model_type = 'forest' and mean_auc > 0.5").withColumn("mean_auc", F.round(F.col("mean_auc") - 0.5, 2))
-    return mt.upsert(c, new, "model_type", "forest").select("ticker", "candidate", "model_type", "mean_auc")
-
-
 def _ann_vol(spark, sf_dir):
     return rounded(al.annual_vol(bars_of(spark, sf_dir)))
 
@@ -131,9 +113,9 @@ def _trading(spark, sf_dir):
 
 QUERIES = {
     "cpcv_blocks": _blocks, "cpcv_splits_a": _splits(cpcv.splits_by_rows), "cpcv_splits_b": _splits(cpcv.splits_by_dates), "cpcv_splits_c": _splits(cpcv.splits_before), "cpcv_train_counts": _counts, "cpcv_paths": _paths, "path_sharpe": _path_sharpe, "label_end": _label_end,
-    "clf_metrics": _p(lambda p: mt.with_overall(p, lambda d: mt.binary_metrics(d, ["instrument"]))), "roc_pr_points": _p(lambda p: mt.curve_points(p, ["instrument"])), "calibration": _p(lambda p: mt.calibration(p, ["instrument"])), "ev_threshold": _p(lambda p: mt.ev_threshold(p, ["instrument"])),
+    "clf_metrics": _p(mt.with_overall), "roc_pr_points": _p(lambda p: mt.curve_points(p, ["instrument"])), "calibration": _p(lambda p: mt.calibration(p, ["instrument"])), "ev_threshold": _p(lambda p: mt.ev_threshold(p, ["instrument"])),
     "bootstrap_threshold": _p(lambda p: mt.bootstrap_threshold(p, ["instrument"])), "threshold_sweep": _p(lambda p: mt.threshold_sweep(p, ["instrument"])), "nav_drawdown": _p(lambda p: mt.nav_table(_sized(p))), "nav_summary": _p(lambda p: mt.nav_summary(mt.nav_table(_sized(p)))), "return_diagnostics": _p(mt.return_diagnostics),
-    "trading_metrics": _trading, "candidate_summary": _fold_metrics, "top3_then_sharpe": _top3, "comparison_upsert": _upsert, "oof_average": lambda s, d: rounded(mt.oof_average(oof_of(s, d))), "ewma_ann_vol": _ann_vol, "sizing": _sizing,
+    "trading_metrics": _trading, "candidate_summary": _fold_metrics, "oof_average": lambda s, d: rounded(mt.oof_average(oof_of(s, d))), "ewma_ann_vol": _ann_vol, "sizing": _sizing,
     "allocation": lambda s, d: rounded(allocation_of(s, d)), "gross_cap": lambda s, d: rounded(allocation_of(s, d, most_gross=0.2).select("date", "instrument", "capped_weight", "weight")), "weights_compare": _aligned(lambda a: a), "strategy_summary": _aligned(al.strategy_summary),
     "strategy_summary_portfolio": _aligned(lambda a: al.strategy_summary(a, "portfolio_sum")), "instrument_summary": _aligned(al.instrument_summary), "daily_panel": _aligned(al.daily_panel),
 }
@@ -222,12 +204,6 @@ def _strategy(agg: str) -> str:
     return f"WITH RECURSIVE {_ALIGN}{long} SELECT strategy, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(active) AS BIGINT) AS nonzero_weights, " + ", ".join(f"round({v}, 6) + 0.0 AS {k}" for k, v in cols.items()) + " FROM dd GROUP BY strategy"
 
 
-def _cand() -> str:
-    rows = ", ".join(f"('{t}', '{c.config_name}', {v}, '{c.config_name}__{v}')" for t in "ANR" for c in lb.SWEEP for v in range(4))
-    u = lambda k: f"round({_hash(chr(39) + k + chr(39), 'ticker', 'candidate')}, 2)"
-    return f"cd AS (SELECT *, CASE WHEN variant < 2 THEN 'logistic' ELSE 'forest' END AS model_type, {u('a')} AS mean_auc, {u('b')} AS std_auc, {u('c')} AS median_auc, {u('d')} AS median_path_trade_sharpe, {u('e')} AS path_sharpe_iqr FROM (VALUES {rows}) z(ticker, tb_config_name, variant, candidate))"
-
-
 _NAV = PRED + f", nv AS (SELECT instrument, date, 0.05::DOUBLE * signed_touch_return AS primary_return, CASE WHEN prediction >= 0.5 THEN 0.05::DOUBLE * signed_touch_return ELSE 0.0 END AS meta_return FROM pr), nb AS (SELECT *, exp(sum(ln(1 + primary_return)) OVER ({o.W} ROWS UNBOUNDED PRECEDING)) AS primary_nav, exp(sum(ln(1 + meta_return)) OVER ({o.W} ROWS UNBOUNDED PRECEDING)) AS meta_nav FROM nv), nc AS (SELECT *, primary_nav / max(primary_nav) OVER ({o.W} ROWS UNBOUNDED PRECEDING) - 1 AS primary_drawdown, meta_nav / max(meta_nav) OVER ({o.W} ROWS UNBOUNDED PRECEDING) - 1 AS meta_drawdown FROM nb)"
 _r = lambda *cols: ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in cols)
 _TRADE = PRED + f", tr AS (SELECT instrument, date, CASE WHEN prediction < 0.4 THEN 0 WHEN {_hash(chr(39) + 'd' + chr(39), 'instrument', 'CAST(date AS VARCHAR)')} >= 0.5 THEN 1 ELSE -1 END AS sg, 100 * signed_touch_return / 100 AS rr FROM pr), tq AS (SELECT *, CASE WHEN sg <> 0 THEN rr END AS r FROM tr), tn AS (SELECT *, exp(sum(ln(1 + r)) OVER ({o.W} ROWS UNBOUNDED PRECEDING)) AS nav FROM tq), td AS (SELECT *, CASE WHEN sg <> 0 THEN nav / max(CASE WHEN sg <> 0 THEN nav END) OVER ({o.W} ROWS UNBOUNDED PRECEDING) - 1 END AS dd FROM tn)"
@@ -245,14 +221,13 @@ ORACLES = {
     "roc_pr_points": f"WITH RECURSIVE {PRED}, sc AS (SELECT instrument, prediction AS threshold, count(*) AS m, CAST(sum(y_true) AS BIGINT) AS pos FROM pr GROUP BY ALL), cu AS (SELECT instrument, threshold, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(m - pos) OVER w AS BIGINT) AS fp, sum(pos) OVER (PARTITION BY instrument) AS ap, sum(m - pos) OVER (PARTITION BY instrument) AS an FROM sc WINDOW w AS (PARTITION BY instrument ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)) SELECT instrument, round(threshold, 6) AS threshold, tp, fp, round(tp / ap::DOUBLE, 6) AS tpr, round(fp / an::DOUBLE, 6) AS fpr, round(tp / (tp + fp)::DOUBLE, 6) AS \"precision\" FROM cu",
     "calibration": f"WITH RECURSIVE {PRED}, qe AS (SELECT instrument, quantile_cont(prediction, [{', '.join(str(i / 10) for i in range(1, 10))}]) AS e FROM pr GROUP BY instrument), qb AS (SELECT pr.*, CAST(len(list_filter(e, lambda x: x < prediction)) AS INTEGER) AS bin FROM pr JOIN qe USING (instrument)) SELECT instrument, bin, count(*) AS n, round(avg(prediction), 6) AS mean_predicted, round(avg(y_true), 6) AS fraction_positive FROM qb GROUP BY instrument, bin",
     "ev_threshold": f"WITH RECURSIVE {PRED}, g AS (SELECT instrument, avg(signed_touch_return) FILTER (y_true = 1) AS r_good, avg(signed_touch_return) FILTER (y_true = 0) AS r_bad, count(*) FILTER (y_true = 1) AS n_good, count(*) FILTER (y_true = 0) AS n_bad FROM pr GROUP BY instrument), gg AS (SELECT *, CASE WHEN r_good > r_bad THEN -r_bad / (r_good - r_bad) END AS raw_threshold FROM g) SELECT instrument, n_good, n_bad, {_r('r_good', 'r_bad', 'raw_threshold')}, round(coalesce(greatest(0, least(1, raw_threshold)), 0.5), 6) AS clipped_threshold FROM gg",
+    "bootstrap_threshold": f"WITH RECURSIVE {PRED}, bv AS (SELECT instrument, y_true, signed_touch_return AS r, CAST(row_number() OVER (PARTITION BY instrument, y_true ORDER BY date) - 1 AS BIGINT) AS k, count(*) OVER (PARTITION BY instrument, y_true) AS n FROM pr), bj AS (SELECT instrument, y_true, n, k AS j, CAST(s AS BIGINT) AS s FROM bv, range(1, 2001) z(s)), b1 AS (SELECT *, (s * 1000003 + j * 7919 + y_true * 104729 + 11) % 2147483647 AS z FROM bj), b2 AS (SELECT *, (z * z + 12345) % 2147483647 AS z2 FROM b1), b3 AS (SELECT *, (z2 * 48271 + j) % 2147483647 AS z3 FROM b2), b4 AS (SELECT instrument, y_true, s, CAST(((z3 * z3 + s) % 2147483647) * n // 2147483647 AS BIGINT) AS k FROM b3), b5 AS (SELECT b4.instrument, b4.y_true, s, avg(r) AS m FROM b4 JOIN bv USING (instrument, y_true, k) GROUP BY ALL), b6 AS (SELECT instrument, s, max(m) FILTER (y_true = 1) AS g, max(m) FILTER (y_true = 0) AS b FROM b5 GROUP BY ALL), b7 AS (SELECT *, CASE WHEN g > b THEN greatest(0, least(1, -b / (g - b))) END AS t FROM b6) SELECT instrument, count(t) AS samples, round(quantile_cont(t, 0.5), 6) AS median, round(quantile_cont(t, 0.05), 6) AS pct5, round(quantile_cont(t, 0.95), 6) AS pct95 FROM b7 GROUP BY instrument",
     "threshold_sweep": f"WITH RECURSIVE {PRED}, tt AS (SELECT round(0.05::DOUBLE + i * (0.9::DOUBLE / 36), 10) AS threshold FROM range(37) z(i)), f AS (SELECT instrument, threshold, count(*) AS n, count(*) FILTER (prediction >= threshold) AS k, coalesce(2.0::DOUBLE * count(*) FILTER (prediction >= threshold AND y_true = 1) / (count(*) FILTER (prediction >= threshold) + count(*) FILTER (y_true = 1)), 0) AS f1 FROM pr, tt GROUP BY instrument, threshold), h AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY f1 DESC, threshold) AS q FROM f WHERE k > 0 AND k < n) SELECT instrument, round(threshold, 6) AS threshold, round(f1, 6) AS f1 FROM h WHERE q = 1",
     "nav_drawdown": f"WITH RECURSIVE {_NAV} SELECT instrument, date, {_r('primary_return', 'meta_return', 'primary_nav', 'meta_nav', 'primary_drawdown', 'meta_drawdown')} FROM nc",
     "nav_summary": f"WITH RECURSIVE {_NAV}, ns AS (SELECT instrument, date, 'primary' AS strategy, primary_return AS ret, primary_nav AS nav, primary_drawdown AS dd FROM nc UNION ALL SELECT instrument, date, 'meta', meta_return, meta_nav, meta_drawdown FROM nc) SELECT instrument, strategy, count(*) FILTER (ret <> 0) AS n_trades, round(avg(ret), 6) + 0.0 AS mean_event_return, round(max_by(nav, date) - 1, 6) + 0.0 AS total_profit, round({_sh('ret', 'sqrt(25.2::DOUBLE)')}, 6) + 0.0 AS annualised_sharpe, round(min(dd), 6) + 0.0 AS max_drawdown FROM ns GROUP BY instrument, strategy",
     "return_diagnostics": f"WITH RECURSIVE {PRED} SELECT instrument, count(*) AS n_events, round(avg(CAST(prediction >= 0.5 AS INTEGER)), 6) AS take_rate, round(avg(signed_touch_return), 6) + 0.0 AS mean_primary_return, round(avg(CASE WHEN prediction >= 0.5 THEN signed_touch_return ELSE 0 END), 6) + 0.0 AS mean_meta_return, round(sum(signed_touch_return), 6) + 0.0 AS total_primary_return, round(sum(CASE WHEN prediction >= 0.5 THEN signed_touch_return ELSE 0 END), 6) + 0.0 AS total_meta_return FROM pr GROUP BY instrument",
     "trading_metrics": f"WITH RECURSIVE {_TRADE} SELECT instrument, count(r) AS n_trades, round(avg(r) * 252, 6) + 0.0 AS ann_return, round(stddev_samp(r) * sqrt(252.0::DOUBLE), 6) AS ann_vol, round(avg(r) / stddev_samp(r) * sqrt(252.0::DOUBLE), 6) + 0.0 AS sharpe, round((avg(r) - 0.002) / stddev_samp(r) * sqrt(252.0::DOUBLE), 6) + 0.0 AS sharpe_tc, round(min(dd), 6) + 0.0 AS max_drawdown, round(avg(CASE WHEN r IS NOT NULL THEN CAST(r > 0 AS INTEGER) END), 6) AS hit_rate, round(count(r) / count(*)::DOUBLE, 6) AS turnover FROM td GROUP BY instrument",
     "candidate_summary": f"WITH RECURSIVE {_OOF}{_metrics('oof', 'instrument, split_id', 'y_proba')} SELECT instrument, round(avg(roc_auc), 6) AS mean_auc, round(quantile_cont(roc_auc, 0.5), 6) AS median_auc, round(stddev_samp(roc_auc), 6) AS std_auc, count(roc_auc) AS n_folds FROM mm GROUP BY instrument",
-    "top3_then_sharpe": f"WITH {_cand()}, t3 AS (SELECT *, CAST(row_number() OVER (PARTITION BY ticker ORDER BY mean_auc DESC, std_auc, median_auc DESC, candidate) AS INTEGER) AS auc_rank FROM cd), b AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY median_path_trade_sharpe DESC, path_sharpe_iqr, mean_auc DESC, std_auc, candidate) AS k FROM t3 WHERE auc_rank <= 3) SELECT ticker, candidate, auc_rank, mean_auc, median_path_trade_sharpe FROM b WHERE k = 1",
-    "comparison_upsert": f"WITH {_cand()} SELECT ticker, candidate, model_type, mean_auc FROM cd WHERE model_type <> 'forest' UNION ALL SELECT ticker, candidate, model_type, round(mean_auc - 0.5, 2) FROM cd WHERE model_type = 'forest' AND mean_auc > 0.5",
     "oof_average": f"WITH RECURSIVE {_OOF} SELECT instrument, date, min(y_true) AS y_true, round(min(signed_touch_return), 6) + 0.0 AS signed_touch_return, round(avg(y_proba), 6) AS y_proba, count(*) AS n_folds FROM oof GROUP BY instrument, date",
     "ewma_ann_vol": f"WITH RECURSIVE {_VOL} SELECT date, instrument, round(annualized_ewma_vol, 6) AS annualized_ewma_vol FROM av",
     "sizing": f"WITH RECURSIVE {PRED} SELECT instrument, date, CASE WHEN prediction <= 0.5 THEN 0.0 ELSE 1.0 END AS all_or_nothing, round(CASE WHEN prediction <= 0.5 THEN 0.0 ELSE prediction END, 6) AS model_confidence, round(CASE WHEN prediction <= 0.5 THEN 0.0 ELSE {NCDF} END, 6) AS ncdf FROM pr",

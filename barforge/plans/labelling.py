@@ -95,7 +95,8 @@ QUERIES = {
 _r5 = f"close / nullif({o.lag('close', 5)}, 0) - 1"
 _SIG0 = f", s0 AS (SELECT date, instrument, {_r5} AS r5 FROM bars), sall AS (SELECT date, instrument, CASE WHEN r5 > 0.01 THEN 1 WHEN r5 < -0.01 THEN -1 WHEN r5 IS NOT NULL THEN 0 END AS primary_signal FROM s0), sig AS (SELECT * FROM sall WHERE primary_signal IS NOT NULL)"
 SIG = o.BARS + _SIG0
-_RUN = SIG + f", c AS (SELECT *, CASE WHEN row_number() OVER ({o.W}) = 1 THEN 0 WHEN primary_signal = {o.lag('primary_signal')} THEN 0 ELSE 1 END AS chg FROM sig), g AS (SELECT *, sum(chg) OVER ({o.W}) AS run FROM c)"
+RUN_CTE = f", c AS (SELECT *, CASE WHEN row_number() OVER ({o.W}) = 1 THEN 0 WHEN primary_signal = {o.lag('primary_signal')} THEN 0 ELSE 1 END AS chg FROM sig), g AS (SELECT *, sum(chg) OVER ({o.W}) AS run FROM c)"
+_RUN = SIG + RUN_CTE
 
 
 def vols(where: str = "") -> str:
@@ -154,20 +155,18 @@ _HL = (
     + """, h AS (SELECT b0.*, vol, close * (1 + 2.0 * vol) AS upper, close * (1 - 2.0 * vol) AS lower FROM b0 JOIN ew USING (instrument, rn)
 ), t2 AS (SELECT h.instrument, h.rn, min(b.rn) AS hit FROM h JOIN b0 b ON b.instrument = h.instrument AND b.rn > h.rn AND b.rn <= h.rn + 10 WHERE b.high >= h.upper OR b.low <= h.lower GROUP BY h.instrument, h.rn)"""
 )
+MARKET_CTE = ", q AS (SELECT *, close / prev - 1 AS ret, CASE WHEN volume > 0 THEN volume END AS vp, CASE WHEN open_interest > 0 THEN open_interest END AS op FROM p)"
+MARKET = {
+    "volume_log_change": f"ln(vp) - ln({o.lag('vp')})", "open_interest_log_change": f"ln(op) - ln({o.lag('op')})", **{f"{x}_zscore_{n}d": o.zscore(x, n) for x in ("volume", "open_interest") for n in (20, 63)},
+    "volume_to_open_interest": o.div("volume", "open_interest"), "range_pct": "(high - low) / close", "body_pct": "(close - open) / open", "upper_wick_pct": "(high - greatest(open, close)) / close",
+    "lower_wick_pct": "(least(open, close) - low) / close", "close_position_in_bar": o.div("close - low", "high - low"), "gap_open_pct": "open / prev - 1", "vol_20d_for_interaction": o.agg("stddev_samp", "ret", 20),
+}
 _fwd = lambda h: f"coalesce(100 * coalesce(primary_signal, 0)::DOUBLE * ({o.lead('close', h)} / close - 1), 0.0)"
 
 ORACLES = {
     "signals_long": f"WITH {SIG}, dd AS (SELECT DISTINCT date FROM sig), ii AS (SELECT unnest(['A', 'N', 'R']) AS instrument) SELECT dd.date, lower(ii.instrument) AS instrument, primary_signal FROM dd CROSS JOIN ii LEFT JOIN sig ON sig.date = dd.date AND sig.instrument = ii.instrument",
     "signal_behaviour": f"WITH {_RUN} SELECT date, instrument, chg AS signal_changed, CAST(row_number() OVER (PARTITION BY instrument, run ORDER BY date) - 1 AS INTEGER) AS days_since_signal_change, round({o.agg('avg', 'primary_signal', 5, 1)}, 6) + 0.0 AS signal_rolling_mean_5d, round({o.agg('avg', 'primary_signal', 20, 1)}, 6) + 0.0 AS signal_rolling_mean_20d, CAST({o.agg('sum', 'abs(primary_signal)', 20, 1)} AS DOUBLE) AS signal_abs_rolling_sum_20d FROM g",
-    "market_features": o.select(
-        o.PREPARED + ", q AS (SELECT *, close / prev - 1 AS ret, CASE WHEN volume > 0 THEN volume END AS vp, CASE WHEN open_interest > 0 THEN open_interest END AS op FROM p)",
-        "q",
-        {
-            "volume_log_change": f"ln(vp) - ln({o.lag('vp')})", "open_interest_log_change": f"ln(op) - ln({o.lag('op')})", **{f"{x}_zscore_{n}d": o.zscore(x, n) for x in ("volume", "open_interest") for n in (20, 63)},
-            "volume_to_open_interest": o.div("volume", "open_interest"), "range_pct": "(high - low) / close", "body_pct": "(close - open) / open", "upper_wick_pct": "(high - greatest(open, close)) / close",
-            "lower_wick_pct": "(least(open, close) - low) / close", "close_position_in_bar": o.div("close - low", "high - low"), "gap_open_pct": "open / prev - 1", "vol_20d_for_interaction": o.agg("stddev_samp", "ret", 20),
-        },
-    ),
+    "market_features": o.select(o.PREPARED + MARKET_CTE, "q", MARKET),
     "signal_spans": f"WITH {_RUN} SELECT instrument, min(primary_signal) AS primary_signal, min(date) AS start_date, max(date) AS end_date, count(*) AS rows FROM g GROUP BY instrument, run",
     "signal_switches": f"WITH {_RUN} SELECT instrument, count(*) AS rows, CAST(sum(chg) AS BIGINT) AS switches FROM g GROUP BY instrument",
     "active_instruments": f"WITH {SIG} SELECT instrument, count(*) AS rows, min(date) AS min_date, max(date) AS max_date, count(*) FILTER (primary_signal <> 0) AS active_signals FROM sig GROUP BY instrument",

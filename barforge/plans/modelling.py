@@ -12,7 +12,7 @@ from ..operators import technical as ta
 from ..sources.bars import signals_from_bars
 from . import oracle as o
 from .evaluation import EVENTS, events_of, predictions_of
-from .labelling import SIG
+from .labelling import MARKET, MARKET_CTE, RUN_CTE, SIG
 from .technical import bars_of, rounded
 
 COLS = ["ret_1d", "ret_5d", "ret_20d", "roc_5d", "vol_20d", "park_vol_20d", "price_vs_sma20", "zscore_20d", "donchian_pos_20d", "hl_range"]
@@ -204,3 +204,39 @@ ORACLES = {
 ORACLES["target_corr"] = (
     "WITH RECURSIVE " + EVENTS + ", " + _PREP[len(o.BARS) + 2 :] + f", tg AS (SELECT feature, value AS x, metalabel AS y FROM lf JOIN evs USING (date, instrument) WHERE value IS NOT NULL) SELECT feature, count(*) AS n, round(abs({_CORR}), 6) AS score FROM tg GROUP BY feature"
 )
+
+_EDGES = f", pc AS (SELECT a, b, {_CORR} AS corr FROM pq GROUP BY a, b HAVING count(*) >= 20), ed AS (SELECT a, b FROM pc WHERE abs(corr) >= 0.8 UNION ALL SELECT b, a FROM pc WHERE abs(corr) >= 0.8), rc AS (SELECT unnest({COLS!r}) AS feature, unnest({COLS!r}) AS r UNION SELECT rc.feature, ed.b FROM rc JOIN ed ON rc.r = ed.a), cl AS (SELECT feature, min(r) AS cluster FROM rc GROUP BY feature)"
+ORACLES["corr_clusters"] = f"WITH RECURSIVE {_PREP}{_PAIR}{_EDGES} SELECT feature, cluster FROM cl"
+ORACLES["cluster_representatives"] = (
+    "WITH RECURSIVE "
+    + EVENTS
+    + ", "
+    + _PREP[len(o.BARS) + 2 :]
+    + _PAIR
+    + _EDGES
+    + _PROF
+    + f", tg AS (SELECT feature, value AS x, metalabel AS y FROM lf JOIN evs USING (date, instrument) WHERE value IS NOT NULL), sc AS (SELECT feature, abs({_CORR}) AS score FROM tg GROUP BY feature HAVING count(*) >= 3), rk AS (SELECT cl.*, row_number() OVER (PARTITION BY cluster ORDER BY score DESC NULLS LAST, missing_rate, feature) AS k, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM cl LEFT JOIN pf USING (feature) LEFT JOIN sc USING (feature)) SELECT cluster, feature AS representative, cluster_size FROM rk WHERE k = 1"
+)
+
+
+def _star_sql() -> str:
+    six = lambda c, x=None: f"round({x or c}, 6) + 0.0 AS {c}"
+    labels = {"hmm_volatility_regime": ("hmm_volatility", sg.VOLATILITY_LABELS), "hmm_return_regime": ("hmm_return", sg.RETURN_LABELS), "hmm_market_state": ("hmm_market", sg.MARKET_LABELS)}
+    cols = ["date", "instrument", "primary_signal", *map(six, ("open", "high", "low", "close", "volume", "open_interest", "ret_5d")), "regime AS hmm_predicted_regime", six("hmm_regime_confidence", "conf"), *[six(f"hmm_regime_prob_{k}", f"p{k}") for k in range(4)]]
+    cols += [*map(six, _MASSES), *map(six, MARKET), "signal_changed", "days_since_signal_change", *map(six, ("signal_rolling_mean_5d", "signal_rolling_mean_20d", "signal_abs_rolling_sum_20d"))]
+    cols += ["CAST(regime IS NULL AS INTEGER) AS hmm_regime_missing", *[f"CAST(regime = {k} AS INTEGER) AS hmm_regime_{k}" for k in range(4)]]
+    for source, (prefix, values) in labels.items():
+        cols += [f"CAST(list_position({list(values)!r}, {source}) - 1 AS DOUBLE) AS {source}_code", f"CAST({source} IS NULL AS INTEGER) AS {source}_missing", *[f"CAST({source} = '{v}' AS INTEGER) AS {prefix}_{v}" for v in values]]
+    products = {
+        "signal_x_hmm_confidence": "primary_signal * conf", "ret_5d_x_hmm_confidence": "ret_5d * conf", "vol_20d_x_hmm_confidence": "vol_20d_for_interaction * conf", "signal_x_hmm_prob_stress": "primary_signal * hmm_prob_stress",
+        "signal_x_hmm_prob_high_or_extreme_vol": "primary_signal * hmm_prob_high_or_extreme_vol", "signal_x_hmm_prob_positive_or_strong_upside": "primary_signal * hmm_prob_positive_or_strong_upside",
+    }
+    cols += [six(k, v) for k, v in products.items()]
+    market = ", ".join(f"{v} AS {k}" for k, v in MARKET.items())
+    behaviour = f"SELECT date, instrument, chg AS signal_changed, CAST(row_number() OVER (PARTITION BY instrument, run ORDER BY date) - 1 AS INTEGER) AS days_since_signal_change, {o.agg('avg', 'primary_signal', 5, 1)} AS signal_rolling_mean_5d, {o.agg('avg', 'primary_signal', 20, 1)} AS signal_rolling_mean_20d, CAST({o.agg('sum', 'abs(primary_signal)', 20, 1)} AS DOUBLE) AS signal_abs_rolling_sum_20d FROM g"
+    sides = f"{_MASS}{o.PREPARED[len(o.BARS) :]}{MARKET_CTE}{RUN_CTE}, mk AS (SELECT date, instrument, {market} FROM q), bh AS ({behaviour}), r5 AS (SELECT date, instrument, {_ret(5)} AS ret_5d FROM p), nm AS (SELECT instrument, hmm_predicted_regime AS regime, hmm_volatility_regime, hmm_return_regime, hmm_market_state FROM rm)"
+    join = "sig LEFT JOIN bars USING (date, instrument) LEFT JOIN r5 USING (date, instrument) LEFT JOIN hr USING (date, instrument) LEFT JOIN nm USING (instrument, regime) LEFT JOIN cm USING (date, instrument) LEFT JOIN mk USING (date, instrument) LEFT JOIN bh USING (date, instrument)"
+    return f"WITH RECURSIVE {sides} SELECT {', '.join(cols)} FROM {join}"
+
+
+ORACLES["star_matrix"] = _star_sql()

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import mean, zscore
+from ..functions.windows import mean, staged, zscore
 from ..operators import technical as ta
 from ..sources.bars import bars_from_ticks
 from . import oracle as o
@@ -31,14 +31,16 @@ def _family(make, *, stage=None, ewm=None):
             df = ta.with_ewm(df, *ewm())
         if stage:
             df = df.withColumns(stage())
-        cols = make()
+        with staged() as frames:
+            cols = make()
+        df = df.withColumns(frames) if frames else df
         return rounded(df.select("date", "instrument", *[v.cast("double").alias(k) for k, v in cols.items()]))
 
     return query
 
 
 def _macd(spark, sf_dir):
-    df = ta.with_macd(ta.with_ewm(ta.prepare(bars_of(spark, sf_dir)), *ta.ema_specs((12, 26))))
+    df = ta.with_ewm(ta.prepare(bars_of(spark, sf_dir)), *ta.ema_specs((12, 26)), *ta.macd_specs()).withColumns(ta.macd())
     return rounded(df.select("date", "instrument", "macd_line", "macd_signal", "macd_hist", "macd_hist_chg", "macd_zscore"))
 
 
@@ -90,7 +92,7 @@ QUERIES = {
     "atr": _family(ta.atr, ewm=_atr_specs),
     "rsi": _family(ta.rsi, ewm=_rsi_specs, stage=lambda: {f"_rsi{n}": ta.rsi_value(n) for n in ta.RSIS}),
     "stoch_williams": _family(lambda: {"stoch_k_14d": F.col("_k"), "stoch_d_14d": mean("_k", 3), **ta.williams_r()}, stage=lambda: {"_k": ta.position(14) * 100}),
-    "cci": _family(ta.cci, stage=lambda: {f"_tps{n}": F.collect_list("_tp").over(ta.frame(n)) for n in ta.CCIS}),
+    "cci": _family(ta.cci),
     "mfi": _family(ta.mfi),
     "ultimate_osc": _family(ta.ultimate_oscillator),
     "price_zscore": _family(ta.price_zscore),
@@ -157,3 +159,9 @@ ORACLES["latest_features"] = o.select(
     "q WHERE n = 1",
     {k: k for k in ("close", "ret_1d", "price_vs_sma20", "vol_20d")},
 )
+
+#: Families whose columns, all of them, make the matrix.
+_MATRIX = [k for k in _S if k != "latest_features"]
+ORACLES["feature_matrix_108"] = (
+    "SELECT date, instrument, " + ", ".join(ta.FEATURES) + " FROM " + " JOIN ".join(f"({ORACLES[k]}) f{i}" + (" USING (date, instrument)" if i else "") for i, k in enumerate(_MATRIX))
+)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,18 @@ from pyspark.sql import functions as F
 HORIZONS = (r"_(\d+)d_tp", r"num_days_(\d+)", r"_(\d+)d(?:_|\.|$)")
 
 
+#: Where tables go that only pass through files, in local mode without a named folder.
+LOCAL = "/tmp/barforge"
+
+
+def passing_folder(spark: SparkSession) -> str:
+    """A new folder for tables that pass through files: below ``spark.checkpoint.dir``, which all executors share; in local mode a local one will do."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+    return f"{(named or LOCAL).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in whatever store it names."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -49,11 +63,15 @@ def horizon_of(path: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(path, p, 1), F.lit("")) for p in HORIZONS]).cast("int")
 
 
-def read_named(spark: SparkSession, folder: str, prefix: str, schema: str, glob: str = "*.csv") -> DataFrame:
-    """All files of a folder whose names begin with ``prefix``, with config (the rest of the name) and its horizon."""
+def read_named(spark: SparkSession, folder: str, prefix: str, schema: str, glob: str = "*.csv", up: int = 0) -> DataFrame:
+    """All files of a folder whose names begin with ``prefix``, with config (the rest of the name) and its horizon.
+
+    ``up``: how many folders above the files the name stands, as where each table is a folder of part files.
+    """
     df = spark.read.csv(f"{folder}/{prefix}{glob}", header=True, schema=schema)
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1)
-    return df.withColumns({"config": F.regexp_replace(stem, f"^{prefix}_?", ""), "file_num_days": horizon_of(F.input_file_name())})
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1 - up)
+    stem = F.regexp_replace(name, r"\.[^.]+$", "")
+    return df.withColumns({"config": F.regexp_replace(stem, f"^{prefix}_?", ""), "file_num_days": horizon_of(name)})
 
 
 def build_or_load(spark: SparkSession, path: str, build) -> DataFrame:
@@ -86,6 +104,17 @@ def fan_out(df: DataFrame, folder: str, tables: dict[str, list[str]]) -> None:
         df.unpersist()
 
 
+def dated(df: DataFrame, column: str = "date", pattern: str = "yyyy-MM-dd") -> DataFrame:
+    """A date column as text."""
+    return df.withColumn(column, F.date_format(column, pattern))
+
+
+def json_rows(df: DataFrame, *keys: str, name: str = "settings") -> DataFrame:
+    """keys and the other columns as one JSON text, for the export of configurations."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.select(*keys, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias(name))
+
+
 def summary_json(row: DataFrame) -> str:
     """The only row of a frame as a JSON text."""
     rows = row.limit(2).toJSON().collect()

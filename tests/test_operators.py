@@ -127,7 +127,7 @@ def test_selection(spark):
     got = {(r["a"], r["b"]): r["corr"] for r in corr.collect()}
     assert got["a", "b"] == pytest.approx(1) and got["a", "c"] == pytest.approx(-1) and got["a", "k"] is None
     assert {r["feature"]: r["cluster"] for r in selection.clusters(corr, cols).collect()} == {"a": "a", "b": "a", "c": "a", "k": "k", "m": "m"}
-    assert selection.clean(df, cols) == ["a"]
+    assert selection.clean(df, cols, "date")[0] == ["a"]
     assert selection.numeric_columns(df, ("date",)) == cols
     with pytest.raises(ValueError):
         selection.representatives(None, None, None, "other")

@@ -5,8 +5,6 @@ from conftest import same_rows
 
 from barforge.plans.registry import ORACLES, QUERIES
 
-#: Estimators take long and are random by nature; one of each kind runs in its own test.
-SLOW = {"logistic", "logistic_l1", "forest", "boosting", "network", "forest_importance", "logistic_importance", "neural_head", "pca_scores", "pca_loadings", "hmm_fit", "bootstrap_threshold"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -14,6 +12,8 @@ def test_equals_sql(name, spark, sf_dir, duck):
     same_rows(QUERIES[name](spark, sf_dir), duck.sql(ORACLES[name]))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(name, spark, sf_dir):
-    assert QUERIES[name](spark, sf_dir).count() >= 0
+    """Estimators have no SQL; tests of their operators compare them, and here they run as they are registered."""
+    rows = QUERIES[name](spark, sf_dir).limit(5).collect()
+    assert rows and all(x is not None for x in rows[0][:2])

@@ -51,6 +51,39 @@ def test_event_stream_equals_batch(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, spark.table("event_bars_test").collect()), key=str) == sorted(map(tuple, event_bars(events).collect()), key=str)
 
 
+def test_filter_stream_leaves_out_nulls_and_late_rows(spark, tmp_path):
+    day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(days=i)
+    rows = [("A", day(i), 0.01 * ((i * 7) % 5 - 2)) for i in range(20)]
+    parts = [[*rows[:8], ("A", day(100), None)], [*rows[8:15], ("A", day(3), 0.5), rows[10]], rows[15:]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, "instrument string, date date, ret_1d double").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema("instrument string, date date, ret_1d double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    q = filter_stream(stream).writeStream.outputMode("append").format("memory").queryName("late_test").start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("late_test").orderBy("date").toPandas()
+    want = regimes.filter_fixed(spark.createDataFrame(rows, "instrument string, date date, ret_1d double")).orderBy("date").toPandas()
+    assert got["date"].tolist() == want["date"].tolist()
+    np.testing.assert_allclose(got["p0"], want["hmm_regime_prob_0"])
+
+
+def test_command_line(spark, tmp_path):
+    from barforge.__main__ import main
+    from barforge.operators.technical import FEATURES
+
+    lines = ["date,instrument,open,high,low,close,volume,open_interest"] + [f"2020-{1 + i // 28:02}-{1 + i % 28:02},X,{100 + i},{102 + i},{99 + i},{101 + i % 7 + i},10,5" for i in range(60)]
+    (tmp_path / "bars.csv").write_text("\n".join(lines) + "\n")
+    assert main([str(tmp_path / "bars.csv"), f"{tmp_path}/out", "--format", "parquet"]) == 0
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == 60 and out.columns == ["date", "instrument", *FEATURES]
+
+
+def test_short_instruments_keep_their_rows(spark):
+    obs = spark.createDataFrame([(dt.date(2020, 1, 1 + i), "X", *[0.01 * i] * 6) for i in range(20)], "date date, instrument string, " + ", ".join(f"{c} double" for c in regimes.OBSERVATIONS))
+    out = regimes.detect(obs, "2020-01-15").collect()
+    assert len(out) == 20 and all(r["hmm_predicted_regime"] is None and r["hmm_regime_prob_0"] is None for r in out)
+
+
 def test_filter_stream_equals_batch(spark, sf_dir, tmp_path):
     obs = regimes.observations(bars_of(spark, sf_dir).where("instrument = 'A' and date < '1993-06-01'")).na.drop(subset=["ret_1d"]).select("instrument", "date", "ret_1d")
     rows = obs.orderBy("date").collect()
