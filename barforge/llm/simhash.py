@@ -146,24 +146,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: the smallest by id (null last), then fingerprint, hashes of the text, hash of the row.
+    """``docs`` with one row of each group: the smallest by id (null last), then fingerprint and hashes of the row.
 
     Null and repeated ids are as any others: rows of one id in several groups may all stay, and a group of null ids keeps one.
-    A row is found again by its id and hashes, so only rows that agree in all of them are interchangeable.
+    A row is found again by two hashes of its id, text and other columns, 128 bits; rows that agree in them are one. Whole rows are shuffled once,
+    by these hashes, which finds the kept rows and drops equal ones.
     """
-    names = fresh(docs, "keep", "text_1", "text_2", "row")
+    names = fresh(docs, "row_1", "row_2")
     whole = [col(docs, c) for c in docs.columns if not re.search("map<|variant", docs.schema[c].dataType.simpleString())]  # these have no hash
-    marks = dict(zip(names[1:], (F.xxhash64(col(docs, text)), F.xxhash64(F.lit("text"), col(docs, text)), F.xxhash64(*whole)), strict=True))
-    marked = docs.withColumns(marks)
-    hashes = ("text_1", "text_2", "row")
-    fps = materialize(fingerprints(marked, doc_id, text, more=tuple(marked[n].alias(h) for n, h in zip(names[1:], hashes, strict=True))), "fps")
-    named = _groups(fps, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", *hashes)))
-    least = materialize(named.groupBy("c").agg(F.min("first").alias("first")).select("first.*"), "least")
-    ids = least.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", *hashes), names, strict=True)])
-    same = col(marked, doc_id).eqNullSafe(ids[names[0]])
-    for n in names[1:]:
-        same = same & (marked[n] == ids[n])
-    return marked.join(ids, same, "left_semi").dropDuplicates([doc_id, *names[1:]]).drop(*names[1:])
+    # The places of nulls are hashed too: a null and the value after it don't change places unseen.
+    nulls = F.concat(*[F.when(c.isNull(), "n").otherwise("s") for c in whole])
+    marked = docs.withColumns({names[0]: F.xxhash64(nulls, *whole), names[1]: F.xxhash64(F.lit("row"), *reversed(whole), nulls)})
+    fps = materialize(fingerprints(marked, doc_id, text, more=(marked[names[0]].alias("r1"), marked[names[1]].alias("r2"))), "fps")
+    named = _groups(fps, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "r1", "r2")))
+    least = materialize(named.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.r1").alias(names[0]), F.col("first.r2").alias(names[1])), "least")
+    return marked.join(least, names, "left_semi").dropDuplicates(names).drop(*names)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
