@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from .common import claim_memo, col, text_chunks
 
-#: Distinct pre-tokens whose ids a worker remembers; beyond that it starts afresh.
-MEMO = 300_000
+#: Distinct pre-tokens outside the vocabulary whose ids a worker remembers; beyond that it starts afresh.
+MEMO = 600_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -91,11 +91,13 @@ class ByteBPE:
         self.ids = [ranks[t] for t in self.tokens]
         self.bytes = {i: t for t, i in ranks.items()}
         self.hash = PerfectHash(self.tokens)
+        self.names = [str(i) for i in self.ids]
+        self.name_of = {i: str(i) for i in self.ids}
         self._start()
 
     def _start(self) -> None:
         self.split = regex.compile(self.pattern).findall
-        self.memo: dict[str, tuple[str, int, bytes]] = {}
+        self.memo: dict[str, str] = {}
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("split", "memo")}
@@ -106,36 +108,42 @@ class ByteBPE:
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a pre-token by its bytes: the adjacent pair of the lowest rank, leftmost first, merges until none has one."""
-        n, get = len(piece), self.ranks.get
+        n, ranks = len(piece), self.ranks
+        get = ranks.get
         if n < 2:
-            return [self.ranks[piece]]
+            return [ranks[piece]]
         # An entry is one integer: rank, then place, then the bytes that its two parts have together.
         w = n.bit_length()
         low, by_rank = (1 << w) - 1, 2 * w
-        parts: list = [piece[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r << by_rank | i << w | 2 for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+        size = [1] * n  # of the part that begins here; 0: none does
+        before = list(range(-1, n - 1))
+        heap = []
+        for i in range(n - 1):
+            if (r := get(piece[i : i + 2])) is not None:
+                heap.append(r << by_rank | i << w | 2)
         heapify(heap)
         while heap:
             entry = heappop(heap)
-            size, i = entry & low, entry >> w & low
-            left = parts[i]
+            both, i = entry & low, entry >> w & low
+            left = size[i]
             # It holds only while both its parts are as they were.
-            if left is None or (j := after[i]) >= n or len(left) + len(parts[j]) != size:
+            if not left or (j := i + left) >= n or left + size[j] != both:
                 continue
-            k = after[j]
-            parts[i] = left = piece[i : i + size]
-            parts[j] = None
-            after[i] = k
+            size[i], size[j] = both, 0
+            k = i + both
             if k < n:
                 before[k] = i
-                size += len(parts[k])
-                if (r := get(piece[i : i + size])) is not None:
-                    heappush(heap, r << by_rank | i << w | size)
-            if (k := before[i]) >= 0 and (r := get(parts[k] + left)) is not None:
-                heappush(heap, r << by_rank | k << w | len(parts[k]) + len(left))
-        ranks = self.ranks
-        return [ranks[p] for p in parts if p is not None]
+                if (r := get(piece[i : k + size[k]])) is not None:
+                    heappush(heap, r << by_rank | i << w | both + size[k])
+            k = before[i]
+            if k >= 0 and (r := get(piece[k : i + both])) is not None:
+                heappush(heap, r << by_rank | k << w | size[k] + both)
+        out, i = [], 0
+        while i < n:
+            j = i + size[i]
+            out.append(ranks[piece[i:j]])
+            i = j
+        return out
 
     def encode_pieces(self, pieces: list[str]) -> Iterator[list[int]]:
         """The ids of each pre-token: whole ones of the vocabulary by the perfect hash, others by merging."""
@@ -144,15 +152,28 @@ class ByteBPE:
         for b, at in zip(raw, self.hash.find(raw).tolist(), strict=True):
             yield [ids[at]] if tokens[at] == b else merge(b)
 
-    def learn(self, pieces: set[str]) -> None:
-        """Remembers ids as text, their number and the bytes they decode to, of the pre-tokens that aren't known yet."""
-        memo = self.memo
-        new = [p for p in pieces if p not in memo]
-        if len(memo) + len(new) > MEMO:
+    def resolve(self, pieces: set[str]) -> dict[str, str]:
+        """The ids of each pre-token, joined by spaces: the perfect hash has those of the vocabulary, a memo those merged before.
+
+        Whatever ids merging gives must decode to the pre-token; it is checked as they are learned.
+        """
+        out, memo = {}, self.memo
+        if len(memo) > MEMO:
             memo.clear()
-            new = list(pieces)
-        for p, ids in zip(new, self.encode_pieces(new), strict=True):
-            memo[p] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+        known = list(pieces)
+        raw = [p.encode("utf-8") for p in known]
+        tokens, names, name_of, merge, decode = self.tokens, self.names, self.name_of, self.merge, self.decode
+        for p, b, at in zip(known, raw, self.hash.find(raw).tolist(), strict=True):
+            if tokens[at] == b:
+                out[p] = names[at]
+            elif (text := memo.get(p)) is not None:
+                out[p] = text
+            else:
+                ids = merge(b)
+                if decode(ids) != b:
+                    raise ValueError(f"the ids of {p!r} decode to something else")
+                out[p] = memo[p] = " ".join([name_of[i] for i in ids])
+        return out
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.encode_pieces(self.split(text))))
@@ -166,7 +187,7 @@ def _schema(doc_id: T.StructField, *more: T.StructField) -> T.StructType:
 
 
 def _run_over(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str, text: str, names: dict, row):
-    """mapInArrow over doc_id and text; ``row`` makes a tuple of the further columns from the pre-tokens and the codec."""
+    """mapInArrow over doc_id and text; ``row`` makes a tuple of the further columns from the pre-tokens, what ``resolve`` says of them and the codec."""
     slim = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text"))
     codec = docs.sparkSession.sparkContext.broadcast(ByteBPE(ranks, pattern))  # the vocabulary: its size is fixed
     arrow = [pa.field(n, t) for n, (t, _) in names.items()]
@@ -174,10 +195,10 @@ def _run_over(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: st
     def run(batches):
         bpe = codec.value
         claim_memo(bpe)
-        for part, texts in text_chunks(batches, limit=1 << 20):
+        for part, texts in text_chunks(batches, limit=2 << 20):
             pieces = [bpe.split(t) for t in texts]
-            bpe.learn(set(chain.from_iterable(pieces)))
-            columns = zip(*[row(p, bpe) for p in pieces], strict=True)
+            known = bpe.resolve(set(chain.from_iterable(pieces)))
+            columns = zip(*[row(p, known, bpe) for p in pieces], strict=True)
             arrays = [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", *names])
 
@@ -193,8 +214,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
     columns aren't read. Strings of special tokens are ordinary text.
     """
 
-    def row(pieces, bpe):
-        ids = [int(i) for i in " ".join([bpe.memo[p][0] for p in pieces]).split()] if pieces else []
+    def row(pieces, known, bpe):
+        ids = [int(i) for i in " ".join([known[p] for p in pieces]).split()]
         return (len(ids), ids, hashlib.sha256(bpe.decode(ids)).hexdigest()) if decoded else (len(ids), ids)
 
     names = {"n_tokens": (pa.int64(), T.LongType()), "ids": (pa.list_(pa.int32()), T.ArrayType(T.IntegerType()))}
@@ -221,10 +242,11 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str
     Rows as in ``encode``, whose ids these are; the ids themselves don't leave the workers.
     """
 
-    def row(pieces, bpe):
-        known = [bpe.memo[p] for p in pieces]
-        sha = hashlib.sha256
-        return sum([k[1] for k in known]), sha(" ".join([k[0] for k in known]).encode()).hexdigest(), sha(b"".join([k[2] for k in known])).hexdigest()
+    def row(pieces, known, _):
+        ids = " ".join([known[p] for p in pieces])
+        n = ids.count(" ") + 1 if ids else 0
+        # The bytes of each pre-token are what its ids decode to, as ``resolve`` has checked.
+        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256("".join(pieces).encode("utf-8")).hexdigest()
 
     text_type = (pa.string(), T.StringType())
     return _run_over(docs, ranks, pattern, doc_id, text, {"n_tokens": (pa.int64(), T.LongType()), "ids_sha256": text_type, "decoded_sha256": text_type}, row)

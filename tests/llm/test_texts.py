@@ -1,8 +1,10 @@
 """Text operators against brute force, libraries and edge cases."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -79,6 +81,27 @@ def test_counts_equal_tokenizers():
         assert sum(own.memo[p] for p in pieces) + special == len(ref.encode(t, add_special_tokens=False).ids), t
 
 
+def test_token_queries_equal_the_libraries(spark, sf_dir, docs):
+    tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("tokenizers")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    ids = {i: ref.encode_ordinary(t) for i, t in texts.items()}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in QUERIES["op8_bpe"](spark, sf_dir).collect()}
+    assert got == {i: (len(x), sha(" ".join(map(str, x)).encode()), sha(texts[i].encode())) for i, x in ids.items()}
+    ref = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in QUERIES["op9_token_counts"](spark, sf_dir).collect()}
+    counts = {i: len(ref.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
+    assert got == {i: (len(texts[i].encode()), n, n > 512) for i, n in counts.items()}
+
+
+def test_whole_pre_tokens_come_from_the_perfect_hash(ranks):
+    own = bpe.ByteBPE(ranks, P.PATTERN)
+    known = own.resolve({" the", "the", " zxqvkjw"})
+    assert list(own.memo) == [" zxqvkjw"] and known[" the"] == str(ranks[b" the"])
+    assert known[" zxqvkjw"] == " ".join(map(str, own.encode(" zxqvkjw")))
+
+
 def test_token_queries_on_odd_rows(odd, empty, ranks):
     got = {}
     for r in bpe.digests(odd, ranks, P.PATTERN).collect():
@@ -129,6 +152,25 @@ def test_base_spans_equal_the_plain_patterns(docs):
         assert [(s.kind, s.start, s.end) for s in pii.find(t) if s.kind in pii.BASE] == plain_spans(t)
 
 
+def test_pii_query_equals_the_plain_patterns(spark, sf_dir, docs):
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in QUERIES["op7_pii"](spark, sf_dir).collect():
+        want = plain_spans(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(w[0] == k for w in want) for k in pii.BASE]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        spans = [x.split(":") for x in r["spans"].split(",")] if r["spans"] else []
+        assert [(k, int(a), int(b)) for k, a, b in spans if k in pii.BASE] == want and r["n_spans"] == len(spans)
+
+
+def test_context_moves_scores_of_all_kinds():
+    one = lambda text, kind: next(s.score for s in pii.find(text) if s.kind == kind)
+    for kind, value in (("email", "a.b@c.de"), ("ip", "10.2.3.4"), ("card", "4539578763621486"), ("phone", "+44 20 7946 0958")):
+        plain, near, other = (one(f"{w} {value} x", kind) for w in ("so", pii.RAISE[kind][0], "invoice"))
+        assert near > plain > other >= pii.LEAST
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert [s.kind for s in pii.find(f'token = "{key}"')] == ["secret"] and not pii.find(f"commit {key}") and not pii.find(key) and not pii.find("token " + "0" * 40)
+
+
 def test_checksums_and_context():
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
     assert [s.kind for s in pii.find("IBAN GB82 WEST 1234 5698 7654 32")] == ["iban"]
@@ -264,6 +306,73 @@ def test_kneser_ney_sums_to_one_and_batches_agree():
     assert langid.judge(m, ["привет мир"])[3][0]
 
 
+def plain_kneser_ney(texts, order=langid.ORDER, d=langid.DISCOUNT):
+    """Interpolated Kneser-Ney with dictionaries: the probability of a character after those before it."""
+    def seq(t):
+        low = [c.lower()[0] if c.isalpha() else " " for c in t]
+        return ["^"] * (order - 1) + [c for i, c in enumerate(low) if c != " " or i == 0 or low[i - 1] != " "]
+
+    raw = {n: Counter() for n in range(1, order + 1)}
+    for t in texts:
+        x = seq(t)
+        for i in range(order - 1, len(x)):
+            for n in raw:
+                raw[n][tuple(x[i - n + 1 : i + 1])] += 1
+    counts = {order: raw[order]} | {n: Counter(g[1:] for g in raw[n + 1]) for n in range(1, order)}
+    letters = len(raw[1]) + 1
+
+    def prob(gram):
+        if not gram:
+            return 1 / letters
+        same = {g: c for g, c in counts[len(gram)].items() if g[:-1] == gram[:-1]}
+        if not same:
+            return prob(gram[1:])
+        total = sum(same.values())
+        return max(same.get(gram, 0) - d, 0) / total + d * len(same) / total * prob(gram[1:])
+
+    def entropy(t):
+        x = seq(t)
+        grams = [tuple(x[i - order + 1 : i + 1]) for i in range(order - 1, len(x))]
+        return -sum(math.log(prob(g)) for g in grams) / max(1, len(grams))
+
+    return entropy
+
+
+def test_cross_entropies_equal_plain_kneser_ney():
+    rnd = random.Random(2)
+    make = lambda letters: ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 40))) for _ in range(30)]
+    samples = {"xx": make("abAB  c,é"), "yy": make("bdd ef. 1")}
+    model = langid.fit(samples, {})
+    texts = [*make("abcdef é"), "a", "zz q", "  b", "1 2"]
+    got, n, _ = model.entropies(texts)
+    for i, k in enumerate(sorted(samples)):
+        entropy = plain_kneser_ney(samples[k])
+        np.testing.assert_allclose(got[:, i], [entropy(t) for t in texts], rtol=1e-5)
+
+
+def test_prediction_is_the_lowest_plain_entropy(spark):
+    rnd = random.Random(5)
+    kinds = {"xx": "abc  ", "yy": "abde ", "zz": "cdef "}
+    rows = [(i, "".join(rnd.choice(kinds[k]) for _ in range(25)), k) for i, k in enumerate(list(kinds) * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.col("doc_id") < 60)
+    assert model.langs == ["xx", "yy", "zz"]
+    got = {r["doc_id"]: (r["lang_pred"], r["entropy"]) for r in langid.identify(docs, model).collect()}
+    by_id = {r["doc_id"]: r for r in docs.withColumn("draw", F.greatest(F.lit(1), F.pmod(F.xxhash64("text", F.lit("lang")), F.lit(1 << 30)))).collect()}
+    entropy = {}
+    for k in kinds:
+        mine = sorted({(r["draw"], r["text"]) for r in by_id.values() if r["lang"] == k and r["doc_id"] < 60})
+        entropy[k] = plain_kneser_ney([t for draw, t in mine if draw % langid.CALIBRATE])
+    for i, r in by_id.items():
+        h = {k: e(r["text"]) for k, e in entropy.items()}
+        assert got[i][0] == min(h, key=h.get) and got[i][1] == pytest.approx(min(h.values()), rel=1e-5)
+
+
+def test_languages_of_the_most_characters_are_learned(spark):
+    rows = [(f"{k * 3} text {i}", k) for n, k in enumerate(("xx", "yy", "zz")) for i in range(10 * (n + 1))]
+    assert langid.train(spark.createDataFrame(rows, "text string, lang string"), most_langs=2).langs == ["yy", "zz"]
+
+
 def test_language_on_odd_rows(odd, empty):
     model = langid.train(odd)
     got = {r["doc_id"]: r for r in langid.identify(odd, model).collect()}
@@ -319,6 +428,47 @@ def test_quality_scores_are_sparse_dot_products():
     assert quality.score_texts(w, texts[2:])[0] == pytest.approx(want[2])
 
 
+def plain_ftrl(docs, bits):
+    """FTRL-proximal one coordinate at a time: (text, label) in order, buckets by ``features``."""
+    z, n = {}, {}
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= quality.L1 else (np.sign(z[i]) * quality.L1 - z[i]) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+    for _ in range(quality.PASSES):
+        for text, y in docs:
+            at, _, scale = quality.features([text], bits)
+            x = {int(i): float(np.float32(c * scale[0])) for i, c in Counter(at.tolist()).items()} | {1 << bits: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g, old = (p - y) * v, n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / quality.ALPHA * w[i]
+                n[i] = old + g * g
+    return np.array([weight(i) if i in z else 0.0 for i in range((1 << bits) + 1)])
+
+
+def test_training_equals_plain_updates(spark):
+    rnd = random.Random(3)
+    words = "good fine plain text bad spam buy now ! 7".split()
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 30)))) for i in range(60)]
+    labels = [(i, int("good" in t)) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [r["doc_id"] for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit("quality")).alias("d")).orderBy("d").collect()]
+    got = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"), bits=10)
+    np.testing.assert_allclose(got, plain_ftrl([(dict(rows)[i], dict(labels)[i]) for i in order], 10), atol=1e-12)
+    some = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"), bits=10, rows=20)
+    np.testing.assert_allclose(some, plain_ftrl([(dict(rows)[i], dict(labels)[i]) for i in order[:20]], 10), atol=1e-12)
+
+
+def test_the_sample_counts_an_id_once_and_ends_by_its_grams(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 2, f"text {i}") for i in range(3000)], "doc_id long, text string").union(spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(50))) for i in range(10, 40)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "learn", lambda known, bits: np.array([float(len(known)), float(sum(len(a) - 1 for a, _, _ in known))]))
+    n, grams = quality.train(docs, labels)[:2]
+    assert n == 32 and grams < 32 * 110
+    n, grams = quality.train(docs, labels, grams=1000)[:2]
+    assert 9 <= n < 32 and grams <= 1000
+    assert quality.train(docs, labels, grams=1)[0] == 1
+
+
 def test_quality_on_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (5, 0), (5, 1), (None, 1), (7, None), (7, 5)], "doc_id long, quality int")
     w = quality.train(odd, labels)
@@ -409,6 +559,17 @@ def test_mixing_on_odd_rows(odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_equals_sql_on_null_and_repeated_ids(spark, duck, tmp_path):
+    from conftest import same_rows
+
+    rows = [(None, f"w {i % 40}", "a" if i % 3 else None) for i in range(400)] + [(7, "one two", "b")] * 300 + [(8, "one two", s) for s in ("b", "", None)] + [(8, None, "b"), (8, "", "b")] + [(1000 + i, "x y z", "c") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op5_mixing"](spark, str(tmp_path))
+    same_rows(out, duck.sql(ORACLES["op5_mixing"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")))
+    for r in out.groupBy("source_size", "target").agg(F.sum("taken").alias("n")).where("target > 300").collect():
+        assert r["n"] == pytest.approx(r["target"], rel=0.1)
+
+
 @pytest.mark.parametrize("name", ["op4_sharding", "op5_mixing"])
 def test_equals_sql(name, spark, sf_dir, duck):
     from conftest import same_rows
