@@ -22,17 +22,17 @@ _log = logging.getLogger(__name__)
 #: Cosine from which vectors link.
 COSINE = 0.9
 #: Distinct vectors in a shard's graph, and distinct queries in a block.
-SHARD, BLOCK = 16384, 131072
+SHARD, BLOCK = 65536, 131072
 #: Bytes of vectors that a shard has at most, whatever its rows, counting 8 a component; and a block.
-SHARD_BYTES, BLOCK_BYTES = 32 << 20, 64 << 20
+SHARD_BYTES, BLOCK_BYTES = 64 << 20, 64 << 20
 #: Shards and blocks while there are few vectors, of at least so many each.
-LEAST_SHARDS, LEAST_BLOCKS, LEAST_ROWS = 4, 8, 256
+LEAST_SHARDS, LEAST_BLOCKS, LEAST_ROWS = 2, 16, 512
 #: Beam of the first search; each next one is twice as wide. Beyond the widest one an exact pass over the shard decides.
 BEAM, WIDEST = 16, 256
 #: Planted probes of a shard, audited queries of each kind of a cell, and the recall that beams must reach in both.
 PROBES, AUDIT, RECALL = 512, 64, 0.99
-#: Queries that search at once.
-ROWS = 256
+#: Queries that search at once, and that are audited together at most.
+ROWS, TOGETHER = 128, 16384
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -211,8 +211,8 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, vec_id: str = "ve
             at = np.minimum(np.searchsorted(c, ids), len(c) - 1)
             own = np.where(c[at] == ids, at, -1)
             recall = 1.0
-            for i in range(0, len(q), SHARD):  # one audit each
-                part = slice(i, i + SHARD)
+            for i in range(0, len(q), TOGETHER):
+                part = slice(i, i + TOGETHER)
                 found, got, _ = shard_links(graph_of, _unit(q[part]), own[part], int(a["beam"]))
                 recall = min(recall, got)
                 for k, r in enumerate(found, i):

@@ -9,7 +9,7 @@ LINKS, BUILD_BEAM = 20, 40
 #: Nodes inserted at once at most; links among them come from their own similarities.
 BATCH = 256
 #: Beam entries that are opened in one step.
-OPEN = 4
+OPEN = 2
 #: Cosine to a node from which a vector becomes its member, no node of its own: else a dense group holds every beam that comes near it.
 MERGE = 0.95
 

@@ -214,6 +214,47 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == last.count()
 
 
+def test_pipeline_equals_a_plain_one(spark, sf_dir):
+    """Each stage once more, document by document."""
+    import hashlib
+    import re
+    from collections import Counter
+
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+    from test_texts import plain_components, plain_fingerprint, plain_targets
+
+    from barforge.llm import bpe, langid, pii
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = [r.asDict() for r in table.collect()]
+    model = langid.train(table)
+    docs = [d for d in docs if not langid.judge(model, [d["text"] or ""])[3][0]]
+    group = plain_components({d["doc_id"]: plain_fingerprint(d["text"]) for d in docs})
+    docs = [d for d in docs if group[d["doc_id"]] == d["doc_id"]]
+    for d in docs:
+        out, at = "", 0
+        for s in sorted(pii.find(d["text"]), key=lambda s: (s.start, pii.KINDS.index(s.kind))):
+            if s.start >= at:
+                out += d["text"][at : s.start] + f"<{s.kind.upper()}>"
+            at = max(at, s.end)
+        d["text"] = out + d["text"][at:]
+    size = {d["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", d["text"])) for d in docs}
+    sources = sorted({d["source"] for d in docs})
+    of_source = [sum(size[d["doc_id"]] for d in docs if d["source"] == s) for s in sources]
+    target = dict(zip(sources, plain_targets(of_source, [(3, 1, 2)[i % 3] for i in range(len(sources))]), strict=True))
+    rate = {s: target[s] / n if n else 0.0 for s, n in zip(sources, of_source, strict=True)}
+    ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = Counter()
+    for d in docs:
+        whole, part = divmod(rate[d["source"]], 1)
+        draw = int(hashlib.md5(f"mix-1:{d['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
+        want[d["doc_id"], tuple(ref.encode_ordinary(d["text"]))] += int(whole) + (draw < part)
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, sf_dir).collect())
+    assert got == +want
+
+
 def test_pipeline_on_odd_rows(spark):
     import corpus_pipeline
 
