@@ -244,7 +244,7 @@ def _scores(part: pd.DataFrame, cols: list[str], candidates: list[Candidate], pa
     train = part[part["role"] == "train"]
     x, y = train[cols].to_numpy(float), train["y_true"].to_numpy(int)
     x = np.where(np.isfinite(x), x, np.nan)
-    out = [pd.DataFrame({f.name: pd.Series([], dtype=object) for f in _OUT})]
+    out = []
     if len(np.unique(y)) == 2:
         for name in parts:
             rows = part[part["role"] == name]
@@ -252,6 +252,8 @@ def _scores(part: pd.DataFrame, cols: list[str], candidates: list[Candidate], pa
             for c in candidates if len(rows) else ():
                 p = fold_scores(x, np.where(np.isfinite(t), t, np.nan), y, cols, c)
                 out.append(rows[["instrument", "split_id", "block_id", "date", "y_true", "signed_touch_return"]].assign(candidate=c.candidate, part=name, y_proba=p))
+    if not out:
+        return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in _OUT})
     return pd.concat(out)[[f.name for f in _OUT]].astype({"split_id": "int32", "block_id": "int32", "y_true": "int32", "y_proba": float, "signed_touch_return": float})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.quantiles import exact_quantiles
 from .cpcv import sharpe
 
 
@@ -76,8 +77,7 @@ def curve_points(df: DataFrame, by: list[str], y: str = "y_true", p: str = "pred
 
 def calibration(df: DataFrame, by: list[str], bins: int = 10, y: str = "y_true", p: str = "prediction") -> DataFrame:
     """Mean score and rate of positives in bins between the quantiles of the scores."""
-    quantiles = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edges = df.groupBy(*by).agg(F.percentile(p, quantiles).alias("_e"))
+    edges = exact_quantiles(df, by, p, [i / bins for i in range(1, bins)]).groupBy(*by).agg(F.collect_list("quantile").alias("_e"))
     binned = df.join(edges, by).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(p))))
     return binned.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_predicted"), F.avg(y).alias("fraction_positive"))
 

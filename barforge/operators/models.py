@@ -92,11 +92,13 @@ def fold_features(
 
 
 def fit_predict(train: DataFrame, test: DataFrame, cols: list[str], kind: str, **params) -> tuple[DataFrame, object]:
-    """``test`` with y_proba, from a model of ``train`` (both with a label column)."""
+    """``test`` with y_proba, from a model of ``train`` (both with a label column). Training rows are kept while the model is fitted: it reads them again and again."""
+    train = train.persist()
     bounds = prepared(train, cols)
     rows = balanced(filled(train, bounds)).withColumn("label", F.col("label").cast("double"))
     stages = [VectorAssembler(inputCols=cols, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True), estimator(kind, len(cols), train.count(), **params)]
     model = Pipeline(stages=stages).fit(rows)
+    train.unpersist()
     out = model.transform(filled(test, bounds)).withColumn("y_proba", vector_to_array("probability")[1])
     return out.drop("_raw", "features", "rawPrediction", "probability", "prediction"), model
 

@@ -238,8 +238,12 @@ def clusters(correlations: DataFrame, cols: list[str], least: float = 0.9) -> Da
 
 
 def representatives(grouped: DataFrame, stats: DataFrame, scores: DataFrame, policy: str = "target") -> DataFrame:
-    """One column of each cluster, by its target correlation, its missing share, its variance or its name."""
-    order = {"target": [F.desc_nulls_last("score"), "missing_rate"], "missing": ["missing_rate", F.desc_nulls_last("score")], "variance": [F.desc_nulls_last("variance"), "missing_rate"], "name": []}
+    """One column of each cluster, by its target correlation, its missing share, its variance or its name.
+
+    Measures that agree in twelve digits are equal: sums in another order don't change the choice between copies.
+    """
+    measure = lambda c: F.round(c, 12).desc_nulls_last()
+    order = {"target": [measure("score"), "missing_rate"], "missing": ["missing_rate", measure("score")], "variance": [measure("variance"), "missing_rate"], "name": []}
     if policy not in order:
         raise ValueError(f"unknown policy {policy!r}; known are {sorted(order)}")
     w = Window.partitionBy("cluster").orderBy(*order[policy], "feature")

@@ -21,6 +21,15 @@ def bars_frame(spark, closes, instrument="X", start="2020-01-01"):
     return spark.createDataFrame(rows, "date date, instrument string, open double, high double, low double, close double, volume double, open_interest double")
 
 
+def test_bars_in_pieces_equal_whole_days(spark, sf_dir, monkeypatch):
+    from barforge.sources import bars
+
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    whole = sorted(map(tuple, bars.bars_from_ticks(lines).collect()))
+    monkeypatch.setattr(bars, "SPAN", 500)
+    assert sorted(map(tuple, bars.bars_from_ticks(lines).collect())) == whole
+
+
 def test_there_are_108_features(spark, sf_dir):
     out = technical.build_all_features(bars_of(spark, sf_dir).where("instrument = 'A'"))
     assert len(technical.FEATURES) == len(set(technical.FEATURES)) == 108
