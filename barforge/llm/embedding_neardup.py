@@ -26,7 +26,7 @@ SHARD, BLOCK = 65536, 131072
 #: Bytes of vectors that a shard has at most, whatever its rows, counting 8 a component; and a block.
 SHARD_BYTES, BLOCK_BYTES = 64 << 20, 64 << 20
 #: Shards and blocks while there are few vectors, of at least so many each.
-LEAST_SHARDS, LEAST_BLOCKS, LEAST_ROWS = 2, 16, 512
+LEAST_SHARDS, LEAST_BLOCKS, LEAST_ROWS = 2, 8, 512
 #: Beam of the first search; each next one is twice as wide. Beyond the widest one an exact pass over the shard decides.
 BEAM, WIDEST = 16, 256
 #: Planted probes of a shard, audited queries of each kind of a cell, and the recall that beams must reach in both.
