@@ -164,5 +164,8 @@ def best_balanced(balance: DataFrame, by: list[str], param: str) -> DataFrame:
 
 
 def forward_signed_return(bars: DataFrame, horizon: int, side: Column) -> Column:
-    """Percent return over the next ``horizon`` bars in the direction of ``side``; 0 where the horizon isn't complete."""
+    """Percent return over the next ``horizon`` rows of ``bars`` in the direction of ``side``; 0 where the horizon isn't complete.
+
+    Rows are counted as they come: over a cleaned panel those that survived, over all bars every bar.
+    """
     return F.coalesce(100 * side * (safe_div(F.lead("close", horizon).over(by_date()), "close") - 1), F.lit(0.0))

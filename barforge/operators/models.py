@@ -44,8 +44,9 @@ def prepared(train: DataFrame, cols: list[str], clip: bool = True) -> dict:
 
 
 def filled(df: DataFrame, bounds: dict) -> DataFrame:
-    """Missing values take the training median, others are clipped to the training quantiles."""
-    return df.withColumns({c: F.greatest(F.lit(lo), F.least(F.lit(hi), F.coalesce(F.col(c).cast("double"), F.lit(m)))) for c, (m, lo, hi) in bounds.items()})
+    """Missing values take the training median, others are clipped to the training quantiles and to 1e6 in size."""
+    edge = lambda x: max(-1e6, min(1e6, float(x)))
+    return df.withColumns({c: F.greatest(F.lit(edge(lo)), F.least(F.lit(edge(hi)), F.coalesce(F.col(c).cast("double"), F.lit(edge(m))))) for c, (m, lo, hi) in bounds.items()})
 
 
 def balanced(train: DataFrame, y: str = "label") -> DataFrame:

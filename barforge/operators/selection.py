@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -238,20 +240,43 @@ def clusters(correlations: DataFrame, cols: list[str], least: float = 0.9) -> Da
 
 
 def representatives(grouped: DataFrame, stats: DataFrame, scores: DataFrame, policy: str = "target") -> DataFrame:
-    """One column of each cluster, by its target correlation, its missing share, its variance or its name.
+    """One column of each cluster: by its target correlation, its missing share, its variance or its name; what a policy leaves equal goes on to the others.
 
     Measures that agree in twelve digits are equal: sums in another order don't change the choice between copies.
     """
     measure = lambda c: F.round(c, 12).desc_nulls_last()
-    order = {"target": [measure("score"), "missing_rate"], "missing": ["missing_rate", measure("score")], "variance": [measure("variance"), "missing_rate"], "name": []}
+    full, many, wide = F.col("missing_rate"), F.desc("nunique"), measure("variance")
+    order = {"target": [measure("score"), full, many, wide], "missing": [full, many, wide], "variance": [wide, full, many], "name": []}
     if policy not in order:
         raise ValueError(f"unknown policy {policy!r}; known are {sorted(order)}")
     w = Window.partitionBy("cluster").orderBy(*order[policy], "feature")
-    all_ = grouped.join(stats.select("feature", "missing_rate", "variance"), "feature", "left").join(scores.select("feature", "score"), "feature", "left")
+    all_ = grouped.join(stats.select("feature", "missing_rate", "nunique", "variance"), "feature", "left").join(scores.select("feature", "score"), "feature", "left")
     size = F.count("*").over(Window.partitionBy("cluster"))
     return all_.withColumns({"_k": F.row_number().over(w), "cluster_size": size}).where("_k = 1").select("cluster", F.col("feature").alias("representative"), "cluster_size")
 
 
+class Selection(NamedTuple):
+    """Columns that a selection keeps and drops, in their order, and its report."""
+
+    selected: list[str]
+    dropped: list[str]
+    report: DataFrame
+
+
+def select_by_clusters(df: DataFrame, cols: list[str], target: str, least: float = 0.9, policy: str = "target", method: str = "spearman") -> Selection:
+    """One column of each correlation cluster stays; the report has cluster, representative and cluster_size."""
+    report = representatives(clusters(pair_correlations(df, cols, method), cols, least), profile(df, cols), target_correlations(df, cols, target), policy)
+    kept = {r["representative"] for r in report.collect()}
+    return Selection([c for c in cols if c in kept], [c for c in cols if c not in kept], report)
+
+
+def select_top(importances: DataFrame, cols: list[str], k: int = 20) -> Selection:
+    """The ``k`` columns of the highest importance, by name where it is equal; the report is their importances."""
+    report = importances.orderBy(F.desc("importance"), "feature").limit(k)
+    kept = {r["feature"] for r in report.collect()}
+    return Selection([c for c in cols if c in kept], [c for c in cols if c not in kept], report)
+
+
 #: Of columns that hold the same, the one to keep if it is among them, in this order (fixed values).
 KEEP_FIRST = ("hmm_prob_stress", "hmm_prob_calm_positive", "hmm_prob_calm_negative", "hmm_prob_upside_breakout", "hmm_regime_missing")
 

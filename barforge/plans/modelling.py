@@ -215,7 +215,7 @@ ORACLES["cluster_representatives"] = (
     + _PAIR
     + _EDGES
     + _PROF
-    + f", tg AS (SELECT feature, value AS x, metalabel AS y FROM lf JOIN evs USING (date, instrument) WHERE value IS NOT NULL), sc AS (SELECT feature, abs({_CORR}) AS score FROM tg GROUP BY feature HAVING count(*) >= 3), rk AS (SELECT cl.*, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 12) DESC NULLS LAST, missing_rate, feature) AS k, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM cl LEFT JOIN pf USING (feature) LEFT JOIN sc USING (feature)) SELECT cluster, feature AS representative, cluster_size FROM rk WHERE k = 1"
+    + f", tg AS (SELECT feature, value AS x, metalabel AS y FROM lf JOIN evs USING (date, instrument) WHERE value IS NOT NULL), sc AS (SELECT feature, abs({_CORR}) AS score FROM tg GROUP BY feature HAVING count(*) >= 3), rk AS (SELECT cl.*, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 12) DESC NULLS LAST, missing_rate, nunique DESC, round(variance, 12) DESC NULLS LAST, feature) AS k, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM cl LEFT JOIN pf USING (feature) LEFT JOIN sc USING (feature)) SELECT cluster, feature AS representative, cluster_size FROM rk WHERE k = 1"
 )
 
 

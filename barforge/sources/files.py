@@ -132,6 +132,12 @@ def composite_key(*parts: str) -> Column:
     return F.concat_ws("__", *parts)
 
 
+def joined(a: DataFrame, b: DataFrame, *keys: str, suffix: str = "_tb", how: str = "left") -> DataFrame:
+    """A join in which columns that both have, the keys aside, come from ``b`` under a suffix."""
+    twice = {c: f"{c}{suffix}" for c in b.columns if c in a.columns and c not in keys}
+    return a.join(b.withColumnsRenamed(twice), list(keys), how)
+
+
 def coalesced(df: DataFrame, suffix: str = "_tb") -> DataFrame:
     """Columns that come twice, once with a suffix, as one: the plain one where it isn't null."""
     twice = [c for c in df.columns if f"{c}{suffix}" in df.columns]

@@ -243,3 +243,14 @@ def test_small_column_operations(spark):
     df = spark.createDataFrame([("1.5", "x", 2.0), ("NaN", "7", None)], "hmm_prob_a string, b string, hmm_regime_0 double")
     assert selection.named(df, "hmm_prob_") == ["hmm_prob_a"] and selection.split_protected(df.columns, ("b",), ("hmm_prob_",)) == (["hmm_prob_a", "b"], ["hmm_regime_0"])
     assert [tuple(r) for r in selection.numbers(df, "hmm_prob_a", "b").collect()] == [(1.5, None, 2.0), (None, 7.0, None)]
+
+
+def test_selections_say_what_they_keep(spark):
+    rows = [(i, i % 2, float(i % 2) + 0.01 * i, 2.0 * (i % 2) + 0.02 * i, float((i * 7) % 11), None if i < 30 else 2.0 * (i % 2) + 0.02 * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, y int, a double, b double, c double, gap double")
+    found = selection.select_by_clusters(df, ["a", "b", "c", "gap"], "y")
+    assert len(found.selected) == 2 and "c" in found.selected and len(found.dropped) == 2 and not {*found.selected} & {*found.dropped}
+    for policy, kept in (("missing", ["b", "c"]), ("variance", ["b", "c"]), ("name", ["a", "c"])):
+        assert selection.select_by_clusters(df, ["a", "b", "c", "gap"], "y", policy=policy).selected == kept
+    top = selection.select_top(spark.createDataFrame([("a", 0.1), ("b", 0.4), ("c", 0.1)], "feature string, importance double"), ["a", "b", "c"], 2)
+    assert top.selected == ["a", "b"] and top.dropped == ["c"]

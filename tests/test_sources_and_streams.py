@@ -32,6 +32,9 @@ def test_named_files_fan_out_and_json(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/two").columns == ["b", "a"]
     assert files.summary_json(df.select("a", F.struct("b").alias("s"))) == '{"a": 1, "s": {"b": "x"}}'
     assert files.coalesced(df).first()["c"] == "y"
+    left, right = df.select("a", "b", F.lit(None).cast("string").alias("c")), df.select("a", "b", F.lit("z").alias("c"))
+    both = files.joined(left, right, "a")
+    assert both.columns == ["a", "b", "c", "b_tb", "c_tb"] and files.coalesced(both).first().asDict() == {"a": 1, "b": "x", "c": "z"}
     calls = []
     for _ in range(2):
         files.build_or_load(spark, f"{tmp_path}/m", lambda: calls.append(1) or df.select("a")).count()
