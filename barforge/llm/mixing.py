@@ -23,11 +23,18 @@ def _same(doc_id: Column, source: Column, text: Column) -> Column:
     return F.md5(F.concat_ws("|", part(doc_id.cast("string")), part(source.cast("string")), part(F.md5(text.cast("binary")))).cast("binary"))
 
 
-def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size (words of the text; null and empty texts have none) and same, a hash of id, source and text."""
+def repeated(rows: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The ids, null among them, that more than one row has."""
+    n_id, n_times = fresh(rows, "id", "times")
+    times = rows.groupBy(col(rows, doc_id).alias(n_id)).agg(F.count("*").alias(n_times)).where(F.col(n_times) > 1)
+    return materialize(times.select(n_id), "shared_ids")
+
+
+def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", same: bool = False) -> DataFrame:
+    """doc_id, source and size (words of the text; null and empty texts have none); if ``same``, also that: a hash of id, source and text."""
     words = F.coalesce(F.regexp_count(col(docs, text), F.lit(WORD)), F.lit(0)).cast("long")
-    same = _same(col(docs, doc_id), col(docs, source), col(docs, text))
-    return docs.select(col(docs, doc_id).alias("doc_id"), col(docs, source).alias("source"), words.alias("size"), same.alias("same"))
+    key = [_same(col(docs, doc_id), col(docs, source), col(docs, text)).alias("same")] if same else []
+    return docs.select(col(docs, doc_id).alias("doc_id"), col(docs, source).alias("source"), words.alias("size"), *key)
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -71,19 +78,20 @@ def _rate() -> Column:
     return F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
 
 
-def _drawn_by(rows: DataFrame, doc_id: str, same: Column, name: str) -> DataFrame:
+def _drawn_by(rows: DataFrame, doc_id: str, same: Column | None, name: str) -> DataFrame:
     """``rows`` with ``name``, what a row draws by: its id where no other row has it, else ``same`` and its number among the rows that agree in that.
 
     Only rows of shared ids are moved. Their numbers are places in each part of the table, after those of the parts before; rows that
     agree in ``same`` are interchangeable, so reruns give the same rows.
     """
-    n_id, n_times, n_same, n_part, n_place, n_before = fresh(rows, "id", "times", "same_row", "part", "place", "before")
+    n_times, n_same, n_part, n_place, n_before = fresh(rows, "times", "same_row", "part", "place", "before")
     id_text = F.coalesce(col(rows, doc_id).cast("string"), F.lit(""))
-    times = rows.groupBy(col(rows, doc_id).alias(n_id)).agg(F.count("*").alias(n_times)).where(F.col(n_times) > 1)
-    shared = materialize(times.select(n_id), "shared_ids")
+    shared = repeated(rows, doc_id)
     if shared.isEmpty():
         return rows.withColumn(name, id_text)
-    same_id = col(rows, doc_id).eqNullSafe(shared[n_id])
+    if same is None:
+        raise ValueError("ids repeat: sizes needs same=True to tell their rows apart")
+    same_id = col(rows, doc_id).eqNullSafe(shared[shared.columns[0]])
     many = materialize(rows.withColumn(n_same, same).join(shared, same_id, "left_semi").withColumn(n_part, F.spark_partition_id()), "shared")  # the parts stay as they were
     counts = many.groupBy(n_same, n_part).agg(F.count("*").alias(n_times))
     before = F.coalesce(F.sum(n_times).over(Window.partitionBy(n_same).orderBy(n_part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -101,7 +109,7 @@ def copies(sized: DataFrame, by_source: DataFrame, seed: str = SEED) -> DataFram
     broadcasts it while it's small and else splits hot sources.
     """
     b = by_source.withColumnRenamed("source", "b_source")
-    rows = _drawn_by(sized, "doc_id", F.col("same"), "drawn_by")
+    rows = _drawn_by(sized, "doc_id", F.col("same") if "same" in sized.columns else None, "drawn_by")
     joined = rows.join(b, rows["source"].eqNullSafe(b["b_source"])).drop("b_source")
     return joined.withColumn("copies", _copies(_rate(), F.col("drawn_by"), seed)).drop("drawn_by", "same")
 
@@ -123,7 +131,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = materialize(sizes(spark.read.parquet(f"{sf_dir}/documents.parquet")), "sizes")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sized = materialize(sizes(docs, same=not repeated(docs).isEmpty()), "sizes")
     drawn = copies(sized, materialize(targets(sized), "targets"))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

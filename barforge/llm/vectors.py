@@ -81,7 +81,7 @@ def celled(df: DataFrame, shards: int, blocks: int) -> DataFrame:
     Adaptive execution doesn't merge these partitions: a cell is heavy by its work, not its bytes.
     """
     n = shards * blocks
-    number = F.col("s") * blocks + F.col("b")
+    number = F.col("s").cast("long") * blocks + F.col("b")
     if n > CELLS:
         return df.withColumn("cell", number).repartition(min(n, MOST_PARTS), "cell")
     keys = df.sparkSession.createDataFrame([(i // blocks, i % blocks, k) for i, k in enumerate(cell_keys(n))], "s int, b int, cell int")
