@@ -142,16 +142,34 @@ def test_permutation_importance_finds_the_column(spark):
     assert got["X", "a"]["importance"] == pytest.approx(got["X", "a"]["baseline_score"] - got["X", "a"]["mean_permuted_score"])
 
 
+#: The best rows of each ticker in the published comparison of models, to six digits, in their order: mean, deviation and median of the AUC,
+#: median and interquartile range of the path Sharpe ratios (fixed values).
+COMPARISON = {
+    "cl1s": [
+        ("forest parkinson corr_cluster shallow", 0.64308, 0.192026, 0.666888, 0.421916, 0.015622), ("forest garman_klass corr_cluster shallow", 0.64308, 0.192026, 0.666888, 0.420381, 0.015978), ("forest parkinson corr_cluster medium", 0.635559, 0.190991, 0.677468, 0.422354, 0.013313),
+        ("forest garman_klass corr_cluster medium", 0.635559, 0.190991, 0.677468, 0.419849, 0.014945), ("logistic garman_klass none l1_C0.1", 0.629006, 0.114784, 0.63483, 0.489676, 0.060798),
+    ],
+    "ho1s": [
+        ("logistic garman_klass pca l2_C0.1", 0.736165, 0.159956, 0.75, 0.631422, 0.169486), ("logistic garman_klass corr_cluster l2_C1", 0.728295, 0.162535, 0.733333, 0.55604, 0.112878), ("logistic garman_klass corr_cluster l2_C0.1", 0.726719, 0.15447, 0.75, 0.541245, 0.118433),
+        ("logistic garman_klass pca l2_C1", 0.716311, 0.164492, 0.703704, 0.625645, 0.182765),
+    ],
+    "ng1s": [
+        ("logistic garman_klass corr_cluster l1_C1", 0.619671, 0.199402, 0.66807, 0.328293, 0.09842), ("logistic parkinson corr_cluster l1_C1", 0.619671, 0.199402, 0.66807, 0.328038, 0.092174), ("logistic garman_klass pca l2_C1", 0.604495, 0.18018, 0.593651, 0.319655, 0.405498),
+        ("logistic garman_klass none l1_C1", 0.602808, 0.197779, 0.589105, 0.327081, 0.144657),
+    ],
+    "rb1s": [
+        ("logistic garman_klass pca l2_C0.1", 0.55184, 0.08623, 0.572871, 0.050307, 0.038364), ("logistic garman_klass pca elastic_C0.1", 0.549664, 0.087317, 0.571509, 0.036851, 0.036525), ("logistic garman_klass pca elastic_C1", 0.547681, 0.086309, 0.568848, 0.045778, 0.025034),
+        ("logistic garman_klass pca l2_C1", 0.547411, 0.086651, 0.571085, 0.047533, 0.022164), ("logistic garman_klass pca l1_C1", 0.547184, 0.086001, 0.565722, 0.052059, 0.025384),
+    ],
+}
+
+
 def test_top_three_then_sharpe_on_published_rows(spark):
-    """Rows of a published comparison of models: per ticker the best path Sharpe ratio among the three best by AUC."""
-    rows = [
-        ("cl1s", "l1 garman_klass none", 0.6290060676529041, 0.1147836111082548, 0.6348304186539482, 0.4896762471910082, 0.0607975039463768), ("cl1s", "l1 rolling none", 0.5934179785618741, 0.1359741497238978, 0.5733152205163591, 0.4820632449227103, 0.0292665785427634),
-        ("cl1s", "forest garman_klass corr_cluster", 0.6355587454217168, 0.19099054060936235, 0.6774675324675326, 0.41984930297585804, 0.01494515483111497), ("ho1s", "l2 C0.1 pca", 0.7361653607023977, 0.1599562768565435, 0.7500000000000001, 0.6314217870475658, 0.1694863548318674),
-        ("ho1s", "l2 C1 corr_cluster", 0.7282950074616742, 0.1625349855595495, 0.7333333333333333, 0.5560400470156805, 0.1128783640712288), ("ho1s", "l2 C0.1 corr_cluster", 0.726718870121648, 0.154469925863064, 0.75, 0.541244627769466, 0.1063), ("ho1s", "l2 C1 pca", 0.7163109866813571, 0.1644920406337461, 0.7037037037037037, 0.99, 0.1823649879),
-    ]
-    df = spark.createDataFrame(rows, "ticker string, candidate string, mean_auc double, std_auc double, median_auc double, median_path_trade_sharpe double, path_sharpe_iqr double")
-    got = {r["ticker"]: (r["candidate"], r["auc_rank"]) for r in metrics.top3_then_sharpe(df).collect()}
-    assert got == {"cl1s": ("l1 garman_klass none", 2), "ho1s": ("l2 C0.1 pca", 1)}
+    """The best path Sharpe ratio among the three best by AUC, equal ones in their order, is the published choice of each ticker."""
+    rows = [(t, i, *r) for t, part in COMPARISON.items() for i, r in enumerate(part)]
+    df = spark.createDataFrame(rows, "ticker string, place int, candidate string, mean_auc double, std_auc double, median_auc double, median_path_trade_sharpe double, path_sharpe_iqr double").repartition(4)
+    got = {r["ticker"]: (r["candidate"], r["auc_rank"]) for r in metrics.top3_then_sharpe(df, tie="place").collect()}
+    assert got == {"cl1s": ("forest parkinson corr_cluster medium", 3), "ho1s": ("logistic garman_klass pca l2_C0.1", 1), "ng1s": ("logistic garman_klass corr_cluster l1_C1", 1), "rb1s": ("logistic garman_klass pca l2_C0.1", 1)}
 
 
 def test_grid_search_and_bundle(spark, tmp_path):
